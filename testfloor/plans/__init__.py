@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("yields",)
+MODULES = ("yields", "dashboard", "engineering")
 
 
 def load() -> None:

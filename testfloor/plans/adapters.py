@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from testfloor.functions import keys, verdicts
+from testfloor.operators.identity import latest_engineering
+
 ATTEMPTS_SQL = """
 select o_orderkey+1 as attempt, concat('S', o_orderkey % 8) as source_id,
        year(o_orderdate)*12+month(o_orderdate) as run,
@@ -90,9 +93,10 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``rec`` orders the rows of the table; it stands for the record number."""
     tables(spark, sf_dir, "lineitem")
-    return spark.sql(MEASUREMENTS_SQL).withColumn("rec", F.struct(*MEASUREMENT_ORDER)).drop(
-        "o1", "o2", "o3", "o4", "o5"
-    )
+    rows = spark.sql(MEASUREMENTS_SQL).withColumn("rec", F.struct(*MEASUREMENT_ORDER))
+    # The record number of a row up to repeats of a test; only ``rec`` is unique.
+    rows = rows.withColumn("record", F.col("attempt") * 8 + F.col("test_num"))
+    return rows.drop("o1", "o2", "o3", "o4", "o5")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +111,43 @@ def context_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements with the context of their attempt on every row."""
-    context = attempts(spark, sf_dir)
-    return measurements(spark, sf_dir).join(context, "attempt")
+    return measurements(spark, sf_dir).join(attempts(spark, sf_dir), "attempt")
+
+
+def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurement rows in the shape of the EAV table, with the device of each row."""
+    rows = test_rows(spark, sf_dir)
+    merge = keys.wafer_merge_key(F.col("wafer"), F.col("x"), F.col("y"))
+    rows = rows.withColumn("part_merge_key", merge).withColumn("part_pass", verdicts.part_pass(F.col("flags")))
+    device = keys.device_key(F.col("part_merge_key"), F.col("source_id"), F.col("attempt"))
+    part = F.when(F.col("attempt") % 101 == 0, "").otherwise(F.concat(F.lit("P"), "attempt"))
+    return rows.withColumn("device", device).withColumn("part_id", part)
+
+
+def engineering_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurement rows with verdict, usable value, key, and the device flags."""
+    rows = measurements(spark, sf_dir)
+    kind, flags, result = F.col("test_type"), F.col("test_flg"), F.col("result").cast("double")
+    channel = F.when(kind == "MPR", F.lit(0))
+    no_flags = F.lit(0)
+    rows = rows.select(
+        "attempt", "rec", "record", kind.alias("kind"), F.col("test_num").alias("number"),
+        F.col("test_txt").alias("name"), channel.alias("channel"), "pattern", "units",
+        F.col("lo_limit").alias("low"), F.col("hi_limit").alias("high"), "test_flg",
+        keys.engineering_test_key(kind, F.col("test_num"), F.col("test_txt"), channel).alias("test"),
+        F.when(kind != "FTR", verdicts.effective_result(result, flags, no_flags)).alias("value"),
+        verdicts.value_state(kind, channel, result, result, flags, no_flags).alias("value_state"),
+        F.when(channel.isNull(), verdicts.reliable_test_pass(flags)).alias("passed"),
+        verdicts.alarm(flags, F.lit("")).alias("alarm"),
+    )
+    context = latest_engineering(attempts(spark, sf_dir)).drop("start_t", "finish_t", "ecid", "issue", "flags")
+    return rows.join(context, "attempt")
+
+
+def engineering_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with verdict and device flags."""
+    rows = latest_engineering(attempts(spark, sf_dir))
+    return rows.withColumn("passed", verdicts.attempt_passed(F.col("flags")))
 
 
 def cte(*names: str) -> str:
@@ -121,7 +160,16 @@ def cte(*names: str) -> str:
         "context_records": CONTEXT_RECORDS_SQL,
     }
     texts["test_rows"] = "select * from measurements join attempts using (attempt)"
+    texts["dashboard_rows"] = """select *,
+      case when merge_key is null then '["unresolved","'||source_id||'",'||attempt||']' else merge_key end as device
+      from (select *, case when wafer ~ '^[A-Z0-9]+$' and x>0 and y>0
+              then '["wafer-prr","'||wafer||'",'||x||','||y||']' end as merge_key,
+              (flags & 24)=0 as part_pass, case when attempt % 101=0 then '' else 'P'||attempt end as part_id,
+              coalesce(not test_pass,false) or coalesce(result<lo_limit,false) or coalesce(result>hi_limit,false) as failed
+            from test_rows)"""
     needed = list(names)
+    if "dashboard_rows" in needed and "test_rows" not in needed:
+        needed.insert(0, "test_rows")
     if "test_rows" in needed:
         needed = ["attempts", "measurements"] + [n for n in needed if n not in ("attempts", "measurements")]
     return "with " + ",\n".join(f"{n} as ({texts[n]})" for n in needed)
