@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("yields", "dashboard", "engineering")
+MODULES = ("yields", "dashboard", "engineering", "stream")
 
 
 def load() -> None:
