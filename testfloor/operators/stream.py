@@ -108,12 +108,12 @@ def _slot_events(records: DataFrame, scope: list[str], fall_back: bool, chunk_ro
 
 def open_wafers(
     records: DataFrame, probes: DataFrame, scope: list[str] = ["source_id"], fall_back: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS, only_open: bool = True,
 ) -> DataFrame:
     """Add to probes (scope, head, site, seq) the open wafer as the ``wafer_seq`` of its WIR.
 
     With a site group: its own slot, else the slot of all sites. Without: the
-    slot of all sites, else the only open wafer of the head. How many wafers are
+    slot of all sites, else (``only_open``) the only open wafer of the head. How many wafers are
     open, and which one if it is alone, are running sums over the head's stream.
     """
     # Context events and attempt openings are few beside the test records and are
@@ -164,7 +164,9 @@ def open_wafers(
     )
     joined = grouped.join(state, ident)
     only = F.when(F.col("open_count") == 1, F.col("open_total"))
-    chosen = F.when(F.col("site_group").isNotNull(), F.coalesce("own", "shared")).otherwise(F.coalesce("shared", only))
+    chosen = F.when(F.col("site_group").isNotNull(), F.coalesce("own", "shared")).otherwise(
+        F.coalesce("shared", only) if only_open else F.col("shared")
+    )
     found = joined.select(*ident, "site_group", "open_count", chosen.alias("wafer_seq"))
     return probes.join(found, ident, "left")
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("yields", "dashboard", "engineering", "stream")
+MODULES = ("yields", "dashboard", "engineering", "stream", "quality")
 
 
 def load() -> None:

@@ -71,6 +71,44 @@ select concat('S', user_id % 10) as source_id, event_id as seq, 1 + event_id % 2
 from events
 """
 
+# The record stream with run ends and file headers, for the structure checks.
+SANITY_RECORDS_SQL = """
+select concat('S', user_id % 10) as source_id, event_id as seq, 1 as head, (user_id + event_id) % 3 as site,
+       case when event_type='signup' then 'PIR' when event_type='purchase' then 'PRR'
+            when event_type='view' then 'PTR' when event_type='click' then 'FTR'
+            when value >= 60 then case when event_id % 2 = 0 then 'MIR' else 'MRR' end
+            when user_id % 9 <= 2 then 'WIR' when user_id % 9 <= 4 then 'WRR' when user_id % 9 = 5 then 'SDR'
+            when user_id % 9 = 6 then 'BPS' when user_id % 9 = 7 then 'EPS'
+            when event_id % 4 = 0 then 'FAR' else 'DTR' end as kind,
+       case when user_id % 5 = 0 then 255 else event_id % 2 end as site_grp,
+       case when event_id % 6 = 0 then '' else concat('W', event_id % 25) end as wafer_id, value
+from events
+"""
+
+# Fields of part and parametric records, one row per field.
+_PRR_FIELD = "select concat('S', o_orderkey % 8) as source_id, o_orderkey * 10 as offset, 'PRR' as record, case when o_orderkey % 8 < 3 then 'cp' when o_orderkey % 8 < 6 then 'ft' else 'unknown' end as flow, {} as field, {} as kind, {} as presence, {} as text, {} as number, cast(null as int) as test_flg, cast(null as int) as opt_flag from orders"
+_PTR_FIELD = "select concat('S', l_orderkey % 8) as source_id, l_orderkey * 10 + l_linenumber as offset, 'PTR' as record, case when l_orderkey % 8 < 3 then 'cp' when l_orderkey % 8 < 6 then 'ft' else 'unknown' end as flow, {} as field, {} as kind, {} as presence, {} as text, {} as number, cast(case l_suppkey % 4 when 0 then 16 when 1 then 128 else 0 end as int) as test_flg, cast(case l_suppkey % 7 when 0 then null when 1 then 64 when 2 then 32 when 3 then 12 else 0 end as int) as opt_flag from lineitem"
+_CTSR_FIELD = "select concat('S', user_id % 10) as source_id, event_id * 10 as offset, 'CTSR' as record, case when user_id % 10 < 5 then 'cp' else 'ft' end as flow, {} as field, {} as kind, {} as presence, {} as text, {} as number, cast(null as int) as test_flg, cast(null as int) as opt_flag from events where event_type='click'"
+_NO_TEXT, _NO_NUMBER = "cast(null as string)", "cast(null as double)"
+_FIELDS = [
+    (_PRR_FIELD, "'HARD_BIN'", "'U2'", "'present'", _NO_TEXT, "cast(o_custkey * 37 % 40000 as double)"),
+    (_PRR_FIELD, "'SOFT_BIN'", "'U2'", "'present'", _NO_TEXT, "cast(case when o_custkey % 11 = 0 then 65535 else o_custkey % 100 end as double)"),
+    (_PRR_FIELD, "'X_COORD'", "'I2'", "case when o_orderkey % 19 = 0 then 'omitted' else 'present' end", _NO_TEXT,
+     "cast(case when o_orderkey % 19 = 0 then null when o_custkey % 13 = 0 then -32768 else o_custkey % 90 end as double)"),
+    (_PRR_FIELD, "'PART_ID'", "'Cn'", "'present'",
+     "case when o_orderkey % 23 = 0 then '' when o_orderkey % 29 = 0 then concat('é', o_custkey) else concat('UNIT', o_custkey) end", _NO_NUMBER),
+    (_PRR_FIELD, "'PART_TXT'", "'Cn'", "'omitted'", _NO_TEXT, _NO_NUMBER),
+    (_PTR_FIELD, "'RESULT'", "'R4'", "'present'", _NO_TEXT, "case when l_partkey % 31 = 0 then cast('NaN' as double) else l_extendedprice end"),
+    (_PTR_FIELD, "'LO_LIMIT'", "'R4'", "'present'", _NO_TEXT, "l_tax"),
+    (_PTR_FIELD, "'HI_SPEC'", "'R4'", "case when l_partkey % 9 = 0 then 'omitted' else 'present' end", _NO_TEXT, "case when l_partkey % 9 = 0 then null else l_discount end"),
+    (_PTR_FIELD, "'UNITS'", "'Cn'", "'present'", "case when l_linenumber % 2 = 0 then 'V' else ' ' end", _NO_NUMBER),
+    (_CTSR_FIELD, "'CHAR_NAM'", "'Cn'", "'present'", "concat('C', event_id % 9)", _NO_NUMBER),
+    (_CTSR_FIELD, "'AXES[0].AXIS_NAM'", "'Cn'", "'present'", "case when event_id % 5 = 0 then ' ' else 'VDD' end", _NO_NUMBER),
+    (_CTSR_FIELD + " and event_id % 2 = 0", "'AXES[1].INIT_VAL'", "'Cn'", "'present'", "'1.2'", _NO_NUMBER),
+    (_CTSR_FIELD + " and event_id % 3 = 0", "'AXES[0].TRACKING[0].TRACK_ID'", "'U1'", "'present'", _NO_TEXT, "cast(event_id % 4 as double)"),
+]
+FIELDS_SQL = " union all ".join(part[0].format(*part[1:]) for part in _FIELDS)
+
 # Order of a measurement inside the whole table; seven columns, unique together.
 MEASUREMENT_ORDER = ["attempt", "test_num", "o1", "o2", "o3", "o4", "o5"]
 
@@ -109,6 +147,16 @@ def context_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CONTEXT_RECORDS_SQL)
 
 
+def sanity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "events")
+    return spark.sql(SANITY_RECORDS_SQL)
+
+
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "orders", "lineitem", "events")
+    return spark.sql(FIELDS_SQL).withColumn("bad_padding", F.lit(False))
+
+
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements with the context of their attempt on every row."""
     return measurements(spark, sf_dir).join(attempts(spark, sf_dir), "attempt")
@@ -158,6 +206,8 @@ def cte(*names: str) -> str:
         "measurements": f"select *, row_number() over (order by {order}) as record_seq from ({MEASUREMENTS_SQL})",
         "records": RECORDS_SQL,
         "context_records": CONTEXT_RECORDS_SQL,
+        "sanity_records": SANITY_RECORDS_SQL,
+        "fields": FIELDS_SQL,
     }
     texts["test_rows"] = "select * from measurements join attempts using (attempt)"
     texts["dashboard_rows"] = """select *,
