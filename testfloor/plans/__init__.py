@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("yields", "dashboard", "engineering", "stream", "quality")
+MODULES = ("yields", "dashboard", "engineering", "stream", "quality", "trace")
 
 
 def load() -> None:

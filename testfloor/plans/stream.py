@@ -51,26 +51,26 @@ def _(spark, sf):
     return stream.number_runs(rows, ("lot", "start_value")).select("source_id", "seq", "run", "lot", "start_value")
 
 
-_GROUP_SQL = SESSION_SQL.format("context_records") + """,
+GROUP_SQL = SESSION_SQL.format("context_records") + """,
  sdr as (select source_id, head, site, seq, site_grp from context_records where kind='SDR'
   union all select source_id, head, (site+2) % 4, seq, site_grp from context_records where kind='SDR'),
  grp as (select a.*, s.site_grp as site_group from numbered a asof left join sdr s
   on a.source_id=s.source_id and a.head=s.head and a.site=s.site and a.open_seq>=s.seq)"""
 
 
-def _probes(spark, sf):
+def probes(spark, sf):
     rows = _context(spark, sf)
     found = stream.attempts(stream.sessions(rows))
     return rows, found.select("source_id", "head", "site", F.col("open_seq").alias("seq"), "part_sequence")
 
 
-@query("b03_site_groups", cte("context_records") + _GROUP_SQL + " select source_id, head, site, open_seq as seq, part_sequence, site_group from grp")
+@query("b03_site_groups", cte("context_records") + GROUP_SQL + " select source_id, head, site, open_seq as seq, part_sequence, site_group from grp")
 def _(spark, sf):
-    rows, probes = _probes(spark, sf)
-    return stream.site_groups(rows, probes, ["source_id"])
+    rows, opened = probes(spark, sf)
+    return stream.site_groups(rows, opened, ["source_id"])
 
 
-@query("b04_open_wafer", cte("context_records") + _GROUP_SQL + """,
+@query("b04_open_wafer", cte("context_records") + GROUP_SQL + """,
  ev as (select source_id, head, site_grp as grp, seq, case when kind='WIR' then seq else -1 end as state from context_records where kind in ('WIR','WRR')),
  p4 as (select g.*, v.s as slot from grp g, (select unnest([0,1,2,255]) as s) v),
  st as (select p4.*, e.state from p4 asof left join ev e on p4.source_id=e.source_id and p4.head=e.head and p4.slot=e.grp and p4.open_seq>=e.seq),
@@ -79,8 +79,8 @@ def _(spark, sf):
 select source_id, head, site, open_seq as seq, part_sequence, site_group, open_count,
  case when site_group is not null then coalesce(own, shared) else coalesce(shared, case when open_count=1 then only_seq end) end as wafer_seq from w""")
 def _(spark, sf):
-    rows, probes = _probes(spark, sf)
-    return stream.open_wafers(rows, probes)
+    rows, opened = probes(spark, sf)
+    return stream.open_wafers(rows, opened)
 
 
 @query("b05_late_wafer")
