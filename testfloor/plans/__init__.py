@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("yields", "dashboard", "engineering", "stream", "quality", "trace")
+MODULES = ("yields", "dashboard", "engineering", "stream", "quality", "trace", "sources")
 
 
 def load() -> None:

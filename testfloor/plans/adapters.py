@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from testfloor.functions import keys, verdicts
 from testfloor.operators.identity import latest_engineering
+from testfloor.sources.eav import EAV
 
 ATTEMPTS_SQL = """
 select o_orderkey+1 as attempt, concat('S', o_orderkey % 8) as source_id,
@@ -172,6 +173,17 @@ def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("device", device).withColumn("part_id", part)
 
 
+def eav_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurement rows under the column names of the stored table."""
+    rows = dashboard_rows(spark, sf_dir)
+    names = {
+        "lot_id": "lot", "wafer_id": "wafer", "head_num": "head", "site_num": "site", "x_coord": "x", "y_coord": "y",
+        "test_time_ms": "duration_ms", "part_sequence": "attempt",
+    }
+    columns = [F.col(names.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in EAV]
+    return rows.select(*columns, "source_id")
+
+
 def engineering_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement rows with verdict, usable value, key, and the device flags."""
     rows = measurements(spark, sf_dir)
