@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from testfloor.functions import keys, verdicts
+from testfloor.session import materialize
 
 ALL = "(all)"
 
@@ -53,32 +54,45 @@ def devices(rows: DataFrame) -> DataFrame:
 
 
 def test_summary(rows: DataFrame) -> DataFrame:
-    """Counts, statistics and first known limits per test."""
-    value, order = F.col("result").cast("double"), F.col("record")
+    """Counts, statistics and first known limits per test.
+
+    Rows are first reduced per test and definition (name, limits, units), with
+    numeric buffers only, so the reduction is a hash aggregation on the map side;
+    the few definitions of a test are then merged.
+    """
+    value, definition = F.col("result").cast("double"), ["test_txt", "lo_limit", "hi_limit", "units"]
     finite = F.when(verdicts.is_finite(value), value)
     limit_fail = verdicts.limit_failure(value, F.col("lo_limit"), F.col("hi_limit"))
+    test = ["scope", "test_num", "test_type", "channel_txt"]
+    parts = rows.groupBy("scope", *_test_columns(), *definition).agg(
+        F.min("record").alias("record"), F.count("*").alias("total"),
+        F.count_if(F.col("test_pass")).alias("pass"), F.count_if(~F.col("test_pass")).alias("fail"),
+        F.count_if(F.col("test_pass").isNull()).alias("unknown"), F.count_if(limit_fail).alias("limit_fail"),
+        F.count(finite).alias("n"), F.avg(finite).alias("m"), F.var_pop(finite).alias("v"),
+        F.min(finite).alias("min"), F.max(finite).alias("max"),
+    )
+    # Mean of the test beside each part, for squared deviations around it.
+    whole = Window.partitionBy(*test)
+    mean = F.sum(F.col("n") * F.col("m")).over(whole) / F.nullif(F.sum("n").over(whole), F.lit(0))
+    centred = parts.withColumn("mean", mean).withColumn(
+        "squares", F.col("n") * (F.col("v") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))
+    )
 
     def first_known(name: str) -> Column:
-        return F.min_by(name, F.when(F.col(name).isNotNull(), order)).alias(name)
-
-    totals = rows.groupBy("scope", *_test_columns()).agg(
-        F.min_by("test_txt", order).alias("test_txt"),
-        F.count("*").alias("total"),
-        F.count_if(F.col("test_pass")).alias("pass"),
-        F.count_if(~F.col("test_pass")).alias("fail"),
-        F.count_if(F.col("test_pass").isNull()).alias("unknown"),
-        F.count_if(limit_fail).alias("limit_fail"),
-        F.avg(finite).alias("mean"),
-        F.stddev_samp(finite).alias("sigma"),
-        F.min(finite).alias("min"),
-        F.max(finite).alias("max"),
+        return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("record"))).alias(name)
+
+    totals = centred.groupBy(*test).agg(
+        F.min_by("test_txt", "record").alias("test_txt"),
+        *[F.sum(c).alias(c) for c in ("total", "pass", "fail", "unknown", "limit_fail")],
+        F.max("mean").alias("mean"), F.sum("n").alias("n"), F.sum("squares").alias("squares"),
+        F.min("min").alias("min"), F.max("max").alias("max"),
         first_known("lo_limit"), first_known("hi_limit"), first_known("units"),
     )
+    sigma = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
     return totals.select(
-        "scope", "test_num", "test_type", "channel_txt",
-        keys.test_label(F.col("test_num"), F.col("test_txt")).alias("label"),
-        *["total", "pass", "fail", "unknown", "limit_fail", "mean", "sigma", "min", "max"],
-        *["lo_limit", "hi_limit", "units"],
+        *test, keys.test_label(F.col("test_num"), F.col("test_txt")).alias("label"),
+        *["total", "pass", "fail", "unknown", "limit_fail", "mean"], sigma.alias("sigma"),
+        *["min", "max", "lo_limit", "hi_limit", "units"],
         verdicts.percent(F.col("pass"), F.col("pass") + F.col("fail")).alias("yield_percent"),
     )
 
@@ -112,7 +126,6 @@ def kpis(rows: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(~F.col("test_pass")).alias("fail")
     )
     # Distinct counts over the short table of combinations.
-    test = F.struct("test_num", "test_type", "channel_txt")
     tests = seen.groupBy("scope", "test_num", "test_type", "channel_txt").agg(F.sum("fail").alias("fail")).groupBy(
         "scope"
     ).agg(F.count("*").alias("tests"), F.count_if(F.col("fail") > 0).alias("failing_tests"))
@@ -125,7 +138,10 @@ def kpis(rows: DataFrame) -> DataFrame:
     parts = sites.groupBy("scope").agg(
         F.sum("n").alias("parts"), F.sum("passed").alias("passed_parts"), F.count("*").alias("sites")
     )
-    return places.join(tests, "scope").join(parts, "scope").select(
+    # One row per scope from each part, laid side by side by aggregation.
+    sides = places.unionByName(tests, allowMissingColumns=True).unionByName(parts, allowMissingColumns=True)
+    merged = sides.groupBy("scope").agg(*[F.max(c).alias(c) for c in sides.columns if c != "scope"])
+    return merged.select(
         "scope", "rows", "parts", "passed_parts",
         (F.col("parts") - F.col("passed_parts")).alias("failed_parts"),
         verdicts.percent(F.col("passed_parts"), F.col("parts")).alias("yield_percent"),
@@ -221,7 +237,9 @@ def correlations(rows: DataFrame, summary: DataFrame, tests: int = 16, limit: in
     """
     test = ["test_num", "test_type", "channel_txt"]
     usable = summary.filter(F.col("mean").isNotNull() & (F.col("sigma") > 0))
-    chosen = _top(usable, _pareto_order(), max(tests, 2)).select("scope", *test, "label", "position")
+    # A short table, read three times below and counted here.
+    chosen = materialize(_top(usable, _pareto_order(), max(tests, 2)).select("scope", *test, "label", "position"), "chosen-tests")
+    tests = chosen.agg(F.max("position")).first()[0] or 0
     value = F.col("result").cast("double")
     points = rows.filter(verdicts.is_finite(value)).select(
         "scope", "device", *_test_columns(), "record", "rec", value.alias("value")
@@ -230,9 +248,9 @@ def correlations(rows: DataFrame, summary: DataFrame, tests: int = 16, limit: in
     ranked = points.join(chosen, on).select(points["scope"], "device", "position", "rec", "value")
     first = ranked.groupBy("scope", "device", "position").agg(F.min(F.struct("rec", "value"))["value"].alias("value"))
     wide = first.groupBy("scope", "device").agg(
-        *[F.max(F.when(F.col("position") == k, F.col("value"))).alias(f"v{k}") for k in range(1, tests + 1)]
+        *[F.max(F.when(F.col("position") == k, F.col("value"))).alias(f"v{k}") for k in range(1, max(tests, 2) + 1)]
     )
-    pairs = list(combinations(range(1, tests + 1), 2))
+    pairs = list(combinations(range(1, max(tests, 2) + 1), 2))
     both = {p: F.col(f"v{p[0]}").isNotNull() & F.col(f"v{p[1]}").isNotNull() for p in pairs}
     totals = wide.groupBy("scope").agg(
         *[

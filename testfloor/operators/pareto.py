@@ -35,8 +35,7 @@ def pattern_pareto(groups: DataFrame) -> DataFrame:
     patterns = groups.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in counts])
     named = patterns.withColumn("label", shown(patterns, "pattern"))
     ranked = running_in_order(named, [], [F.desc("fail"), F.asc("label")], __upto=F.col("fail"))
-    total = patterns.agg(F.sum("fail").alias("__all")).withColumn("__one", F.lit(1))
-    joined = ranked.withColumn("__one", F.lit(1)).join(total, "__one")
+    joined = ranked.withColumn("__all", patterns.agg(F.sum("fail")).scalar())
     known = F.col("pass") + F.col("fail")
     share = lambda top, bottom: F.when(bottom > 0, top * 100.0 / bottom)
     return joined.select(
