@@ -110,7 +110,8 @@ def open_wafers(
     records: DataFrame, probes: DataFrame, scope: list[str] = ["source_id"], fall_back: bool = False,
     chunk_rows: int = CHUNK_ROWS, only_open: bool = True,
 ) -> DataFrame:
-    """Add to probes (scope, head, site, seq) the open wafer as the ``wafer_seq`` of its WIR.
+    """Add to probes (scope, head, site, seq) the open wafer as the ``wafer_seq`` of its WIR,
+    the wafers in the site's own slot and in the shared one, and the number open on the head.
 
     With a site group: its own slot, else the slot of all sites. Without: the
     slot of all sites, else (``only_open``) the only open wafer of the head. How many wafers are
@@ -167,7 +168,7 @@ def open_wafers(
     chosen = F.when(F.col("site_group").isNotNull(), F.coalesce("own", "shared")).otherwise(
         F.coalesce("shared", only) if only_open else F.col("shared")
     )
-    found = joined.select(*ident, "site_group", "open_count", chosen.alias("wafer_seq"))
+    found = joined.select(*ident, "site_group", "open_count", "own", "shared", chosen.alias("wafer_seq"))
     return probes.join(found, ident, "left")
 
 
@@ -186,41 +187,63 @@ def wafer_names(records: DataFrame, scope: list[str], fall_back: bool = True, ch
 
 
 def late_wafers(records: DataFrame, probes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Wafer of each attempt by the strict rule, per (source, run).
-
-    An attempt with no open wafer takes an implicit one, which a later WRR of
-    its slot may name; several open wafers without a site map are ambiguous.
-    The sites of a head are taken to be all mapped or all unmapped.
+    """Wafer of each attempt (probe) by the strict rule, per (source, run).
+
+    A side record that finds no wafer opens an implicit one in its slot: of its
+    site group, or of all sites where the head has nothing open at all. It stays
+    the slot's wafer until the next WIR or WRR there, and that WRR may name it.
+    Several open wafers without a site map are ambiguous. The sites of a head are
+    taken to be all mapped or all unmapped in a run, and mapped heads to open
+    wafers per site group.
     """
-    scope = ["source_id", "run"]
-    found = materialize(open_wafers(records, probes, scope, True, chunk_rows), "open-wafers")
-    slot = F.coalesce("site_group", F.lit(ALL_SITES)).cast("int")
-    implicit = F.col("wafer_seq").isNull() & (F.col("site_group").isNotNull() | (F.coalesce("open_count", F.lit(0)) == 0))
-    pending = found.filter(implicit).select(*scope, "head", slot.alias("slot"), "site", "seq")
-    # The implicit wafer of a slot ends at the next WIR or WRR of that slot: look
-    # at the stream backwards and carry the event that follows.
-    events = records.filter(_is("WIR", "WRR")).select(
-        *scope, "head", F.coalesce("site_grp", F.lit(ALL_SITES)).cast("int").alias("slot"), "seq",
-        F.struct(
-            F.col("kind"), F.coalesce(keys.clean_id(F.col("fabwf_id")), keys.clean_id(F.col("wafer_id"))).alias("name")
-        ).alias("event"), F.lit(None).cast("bigint").alias("site"),
-    )
-    asked = pending.select(
-        *scope, "head", "slot", "seq", F.lit(None).cast(events.schema["event"].dataType).alias("event"),
-        F.col("site").cast("bigint").alias("site"),
+    scope, site = ["source_id", "run"], ["head", "site"]
+    ident = [*scope, *site, "seq"]
+    # The context is the same from one WIR, WRR or SDR of the head to the next, so
+    # the first side record of a site in such a stretch stands for all of them.
+    context = F.when(_is("WIR", "WRR", "SDR"), 1).otherwise(0)
+    staged = carry(
+        records.filter(_is(*SIDE_KINDS, "WIR", "WRR", "SDR")).select(*ident, "kind"), [*scope, "head"], "seq", chunk_rows,
+        stretch=Running("sum", context),
     )
-    stream = events.unionByName(asked).withColumn("back", -F.col("seq"))
-    following = carry(stream, [*scope, "head", "slot"], "back", chunk_rows, next_event=Running("last", F.col("event")))
-    late = following.filter(F.col("site").isNotNull()).select(
-        *scope, "head", "site", "seq",
+    firsts = staged.filter(_is(*SIDE_KINDS)).groupBy(*scope, *site, "stretch").agg(F.min("seq").alias("seq"))
+    asked = firsts.select(*ident).unionByName(probes.select(*ident)).distinct()
+    found = materialize(open_wafers(records, asked, scope, True, chunk_rows), "open-wafers")
+
+    mapped = F.col("site_group").isNotNull()
+    nothing = F.col("own").isNull() & F.col("shared").isNull()
+    needs = F.when(mapped, nothing).otherwise(F.coalesce("open_count", F.lit(0)) == 0)
+    slot = F.coalesce("site_group", F.lit(ALL_SITES)).cast("int")
+    # What ends a wafer of a slot: its own WIR and WRR, and for the slot of all
+    # sites also the WRR of another slot that is not open.
+    own = records.filter(_is("WIR", "WRR")).withColumn("slot", F.coalesce("site_grp", F.lit(ALL_SITES)).cast("int"))
+    shared = _slot_events(records, scope, True, chunk_rows).filter(F.col("slot") == ALL_SITES)
+    columns = [*scope, "head", "slot", "seq", "kind", "wafer_id", "fabwf_id"]
+    ends = own.filter(F.col("slot") != ALL_SITES).select(*columns).unionByName(shared.select(*columns))
+    name = F.coalesce(keys.clean_id(F.col("fabwf_id")), keys.clean_id(F.col("wafer_id")))
+    events = ends.select(*scope, "head", "slot", "seq", F.struct(F.col("kind"), name.alias("name")).alias("event"))
+    rows = found.select(*scope, "head", slot.alias("slot"), "site", "seq", needs.cast("int").alias("needs"))
+    timeline = events.unionByName(rows, allowMissingColumns=True)
+    key = [*scope, "head", "slot"]
+    ended = carry(timeline, key, "seq", chunk_rows, epoch=Running("last", F.when(F.col("event").isNotNull(), F.col("seq"))))
+    following = carry(
+        ended.withColumn("back", -F.col("seq")), key, "back", chunk_rows, next_event=Running("last", F.col("event"))
+    ).filter(F.col("site").isNotNull()).withColumn("epoch", F.coalesce("epoch", F.lit(-1)))
+    opened = carry(following, [*key, "epoch"], "seq", chunk_rows, implicit=Running("max", F.col("needs")))
+    late = opened.select(
+        *ident, F.coalesce(F.col("implicit") == 1, F.lit(False)).alias("implicit"),
         F.when(F.col("next_event.kind") == "WRR", F.col("next_event.name")).alias("late_name"),
-        F.lit(True).alias("implicit"),
+    )
+    preferred = F.when(mapped, F.col("own")).otherwise(F.col("shared"))
+    other = F.when(mapped, F.col("shared")).otherwise(F.col("wafer_seq"))
+    waits = preferred.isNull() & F.col("implicit")
+    placed = found.join(late, ident).select(
+        *ident, waits.alias("waits"), "late_name", F.when(~waits, F.coalesce(preferred, other)).alias("wafer_seq")
     )
     names = wafer_names(records, scope, True, chunk_rows).select(*scope, "wafer_seq", "wafer")
-    joined = found.join(names, [*scope, "wafer_seq"], "left").join(late, [*scope, "head", "site", "seq"], "left")
-    ambiguous = F.col("wafer_seq").isNull() & F.col("implicit").isNull()
+    joined = probes.join(placed, ident).join(names, [*scope, "wafer_seq"], "left")
+    ambiguous = ~F.col("waits") & F.col("wafer_seq").isNull()
     return joined.select(
-        *probes.columns, F.coalesce("wafer", "late_name").alias("wafer"),
+        *probes.columns, F.when(F.col("waits"), F.col("late_name")).otherwise(F.col("wafer")).alias("wafer"),
         F.when(ambiguous, "ambiguous_wafer").alias("wafer_issue"),
     )
 

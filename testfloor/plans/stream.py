@@ -80,7 +80,7 @@ select source_id, head, site, open_seq as seq, part_sequence, site_group, open_c
  case when site_group is not null then coalesce(own, shared) else coalesce(shared, case when open_count=1 then only_seq end) end as wafer_seq from w""")
 def _(spark, sf):
     rows, opened = probes(spark, sf)
-    return stream.open_wafers(rows, opened)
+    return stream.open_wafers(rows, opened).drop("own", "shared")
 
 
 @query("b05_late_wafer")
