@@ -287,8 +287,9 @@ def _(spark, sf):
  union all select 'WIR HEAD_NUM=1 SITE_GRP='||case when block % 2=0 then 1 else 255 end||' START_T='||2000+block||' WAFER_ID=W'||block % 25 from blocks
  union all select 'WRR HEAD_NUM=1 SITE_GRP='||case when block % 2=0 then 1 else 255 end||' FINISH_T='||3000+block||' PART_CNT='||orders||' WAFER_ID=' from blocks
  union all select 'MRR FINISH_T='||4000+block||' DISP_COD=' from blocks where block % 11<>10
- union all select 'GDR FLD_CNT=8 GEN_DATA=Cn(SHMOO_RESULT),U4('||o_orderkey||'),U1(1),U4('||o_orderkey % 4||'),Cn(1),Cn(0,0),Cn(i),Cn(P)' from o where o_orderkey % 50=0
- union all select 'GDR FLD_CNT=30 GEN_DATA=PAD,Cn(SHMOO),Cn(0x'||lower(to_hex(block))||'),Cn(name),Cn(ins),Cn(title),Cn(o),Cn(N),U1(1),U1(1),Cn(VDD),Cn(s),Cn(DPS),Cn(r),Cn(1.0),Cn(f),Cn(0:2),R8(0.5),U4(4),U4(2),Cn(lin),U1(1),U1(1),Cn(T),Cn(s),Cn(t),Cn(n),Cn(f),Cn(1:2),R8(0.25)' from blocks)
+ union all select 'GDR FLD_CNT=8 GEN_DATA=CN(SHMOO_RESULT),U4('||o_orderkey||'),U1(1),U4('||o_orderkey % 4||'),CN(1),CN(0,0),CN(i),CN(P) CUSTOM_RECORD=CTRR REC_CUSTM=CN(SHMOO_RESULT) CHAR_ID_REF=U4('||o_orderkey||') HEAD_NUM=U1(1) SITE_NUM=U4('||o_orderkey % 4||') TEST_NUM_REF=CN(1) CELL_COORD=CN(0,0) RSLT_TAGT_INS=CN(i) CELL_RSLT=CN(P)' from o where o_orderkey % 50=0
+ union all select 'GDR FLD_CNT=30 GEN_DATA=PAD,'||array_to_string(v,',')||' CUSTOM_RECORD=CTSR '||array_to_string(list_transform(list_zip({_SETUP_NAMES!r}, v), lambda z: z[1]||'='||z[2]),' ') from
+  (select ['CN(SHMOO)','CN(0x'||lower(to_hex(block))||')','CN(name)','CN(ins)','CN(title)','CN(o)','CN(N)','U1(1)','U1(1)','CN(VDD)','CN(s)','CN(DPS)','CN(r)','CN(1.0)','CN(f)','CN(0:2)','R8(0.5)','U4(4)','U4(2)','CN(lin)','U1(1)','U1(1)','CN(T)','CN(s)','CN(t)','CN(n)','CN(f)','CN(1:2)','R8(0.25)'] as v from blocks))
 select line, count(*) as n from lines group by 1""")
 def _(spark, sf):
     return stdf.record_lines(_unique(spark, sf)).groupBy("line").agg(F.count("*").alias("n"))

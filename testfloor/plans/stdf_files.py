@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from testfloor.plans import adapters
-from testfloor.session import scratch_path
+from testfloor.session import scratch_path, ship_package, write_bytes
 
 BLOCK = 256
 
@@ -127,21 +127,16 @@ def write_files(spark: SparkSession, sf_dir: str) -> str:
     rows = orders.join(lines, "o_orderkey", "left").withColumn("block", F.floor(F.col("o_orderkey") / BLOCK))
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
         block = int(key[0])
         order = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
         content, count = _build(block, rows.sort_values(order))
         stored = gzip.compress(content, mtime=0) if block % 4 == 1 else content
-        target, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         names = [_name(block)] + ([f"copy/{_name(block)}"] if block % 5 == 0 else []) + ([f"S{block % 8}/notes-{block}.txt"] if block % 6 == 0 else [])
         for name in names:
-            path = f"{base}/{name}"
-            target.create_dir(path.rsplit("/", 1)[0], recursive=True)
-            with target.open_output_stream(path, compression=None) as out:
-                out.write(stored)
+            write_bytes(f"{folder}/{name}", stored)
         return pd.DataFrame({"block": [block], "records": [count]})
 
+    ship_package(spark)
     rows.groupBy("block").applyInPandas(write, "block long, records long").agg(F.sum("records")).collect()
     return folder
 
