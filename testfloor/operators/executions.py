@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from testfloor.operators.joins import attach
+
 
 def last_executions(rows: DataFrame, key: list[str], order: str = "rec") -> DataFrame:
     """The last row per ``key``; a mergeable aggregate, no window over the rows of a key."""
@@ -14,13 +16,12 @@ def last_executions(rows: DataFrame, key: list[str], order: str = "rec") -> Data
 
 def mark_last_execution(rows: DataFrame, key: list[str], order: str = "rec") -> DataFrame:
     """Add ``last_execution`` to every row."""
-    last = rows.groupBy(*key).agg(F.max(order).alias("__last"))
-    renamed = last.select(*[F.col(k).alias(f"__k_{k}") for k in key], "__last")
-    condition = F.lit(True)
-    for k in key:
-        condition = condition & rows[k].eqNullSafe(renamed[f"__k_{k}"])
-    joined = rows.join(renamed, condition, "left")
-    return joined.select(*[rows[c] for c in rows.columns], (rows[order] == F.col("__last")).alias("last_execution"))
+    # A NULL key part is a value of its own here.
+    shown = {f"__k_{k}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("~")) for k in key}
+    keyed = rows.withColumns(shown)
+    last = keyed.groupBy(*shown).agg(F.max(order).alias("__last"), F.count("*").alias("__rows"))
+    joined = attach(keyed, last, list(shown), "__rows")
+    return joined.select(*rows.columns, (F.col(order) == F.col("__last")).alias("last_execution"))
 
 
 def collapsed_verdict(passed: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from testfloor.functions import keys
+from testfloor.operators.joins import attach
 
 
 def coordinate_candidates(tests: DataFrame, attempt: list[str]) -> DataFrame:
@@ -55,6 +56,7 @@ def _device_extremes(attempts: DataFrame) -> DataFrame:
         attempts.filter(F.col("ecid").isNotNull())
         .groupBy("ecid")
         .agg(
+            F.count("*").alias("n"),
             (F.count("*") == F.count("start_t")).alias("all_timed"),
             F.min(run).alias("run_lo"),
             F.max(run).alias("run_hi"),
@@ -70,7 +72,7 @@ def _device_extremes(attempts: DataFrame) -> DataFrame:
 def latest_pareto(attempts: DataFrame) -> DataFrame:
     """Add ``is_latest`` and ``issue``: latest start wins, one run must hold the candidates."""
     devices = _device_extremes(attempts).select(
-        "ecid",
+        "ecid", "n",
         F.when(F.col("all_timed"), F.when(F.col("last.r") == F.col("last_other.r"), F.col("last.a")))
         .otherwise(F.when(F.col("run_lo") == F.col("run_hi"), F.col("attempt_hi")))
         .alias("__latest"),
@@ -79,7 +81,7 @@ def latest_pareto(attempts: DataFrame) -> DataFrame:
         ).otherwise(F.when(F.col("run_lo") == F.col("run_hi"), F.col("run_lo"))).alias("__run"),
     )
     known = F.col("__latest").isNotNull()
-    joined = attempts.join(devices, "ecid", "left")
+    joined = attach(attempts, devices, ["ecid"], "n")
     hit = (F.col("attempt") == F.col("__latest")) & (_run_id() == F.col("__run"))
     wafer_issue = F.col("wafer_issue") if "wafer_issue" in attempts.columns else F.lit(None).cast("string")
     return joined.select(
@@ -96,11 +98,11 @@ def latest_engineering(attempts: DataFrame) -> DataFrame:
     a tie between runs or several runs with a missing start leaves the flag NULL."""
     usable = F.col("all_timed") | (F.col("run_lo") == F.col("run_hi"))
     devices = _device_extremes(attempts).select(
-        "ecid",
+        "ecid", "n",
         F.when(usable & (F.col("first.r") == F.col("first_other.r")), F.struct("first.r", "first.a")).alias("__first"),
         F.when(usable & (F.col("last.r") == F.col("last_other.r")), F.struct("last.r", "last.a")).alias("__last"),
     )
-    joined = attempts.join(devices, "ecid", "left")
+    joined = attach(attempts, devices, ["ecid"], "n")
 
     def flag(extreme: str) -> Column:
         hit = (F.col("attempt") == F.col(f"{extreme}.a")) & (_run_id() == F.col(f"{extreme}.r"))

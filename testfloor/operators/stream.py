@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from testfloor.functions import keys, verdicts
+from testfloor.operators.joins import attach
 from testfloor.operators.ordered import CHUNK_ROWS, Running, carry
 from testfloor.session import materialize
 
@@ -328,8 +329,10 @@ def inherit_definitions(tests: DataFrame, order: str = "seq") -> DataFrame:
     first = tests.select(
         *_TEST, order, opt.alias("f_opt"),
         F.when(units == "\x00", "").otherwise(units).alias("f_units"), *[c.alias(f"f_{n}") for n, c in own.items()],
-    ).groupBy(*_TEST).agg(F.min(F.struct(order, "f_opt", "f_units", *[f"f_{n}" for n in own])).alias("first"))
-    joined = tests.join(first, _TEST)
+    ).groupBy(*_TEST).agg(
+        F.min(F.struct(order, "f_opt", "f_units", *[f"f_{n}" for n in own])).alias("first"), F.count("*").alias("__rows")
+    )
+    joined = attach(tests, first, _TEST, "__rows")
     is_first = F.col(order) == F.col(f"first.{order}")
     opt_used = F.coalesce(opt, F.when(~is_first, F.col("first.f_opt")))
     resolved = {}
@@ -392,9 +395,9 @@ def assign_records(
 def definition_only(tests: DataFrame, records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """First parametric record of a test in a run that was not executed and has no open unit:
     a definition, not an ownership error."""
-    first = tests.groupBy(*_TEST).agg(F.min("seq").alias("__first"))
+    first = tests.groupBy(*_TEST).agg(F.min("seq").alias("__first"), F.count("*").alias("__rows"))
     executed = verdicts.has_bits(F.col("test_flg"), 0x10) & (F.col("parm_flg") == 0)
-    candidates = tests.join(first, _TEST).filter((F.col("seq") == F.col("__first")) & (F.col("run") > 0) & executed)
+    candidates = attach(tests, first, _TEST, "__rows").filter((F.col("seq") == F.col("__first")) & (F.col("run") > 0) & executed)
     key = ["source_id", "head", "site"]
     state = F.when(F.col("kind") == "PIR", 1).when(F.col("kind").isin("PRR", "MIR"), 0)
     events = records.filter(_is("PIR", "PRR")).select(*key, "seq", state.alias("open"), F.lit(False).alias("asked"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from testfloor.operators import identity, pareto, yields
+from testfloor.operators import identity, joins, pareto, yields
 from testfloor.operators.scope import Scope
 
 SCHEMA = "source_id string, run int, start_t int, attempt long, ecid string, wafer_issue string"
@@ -86,6 +86,17 @@ def test_hot_device_is_one_row_before_the_join(spark):
     assert flagged.filter("is_latest and ecid = 'hot'").first().attempt == 2997
 
 
+def test_attach_spreads_hot_and_missing_keys(spark):
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise((F.col("id") % 50).cast("string")).alias("k"), "id"
+    )
+    facts = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    plain = {r.id: (r.k, r.top) for r in rows.join(facts, "k", "left").collect()}
+    for hot_rows in (1, 100, 10**9):
+        got = joins.attach(rows, facts, ["k"], "n", hot_rows)
+        assert {r.id: (r.k, r.top) for r in got.collect()} == plain and got.count() == 2000
+
+
 ATTEMPTS = [  # source, attempt, run, lot, wafer, head, site, flags, ecid, is_latest
     ("s", 1, 1, "L", "W1", 1, 0, 8, "d", False), ("s", 2, 1, "L", "W1", 1, 0, 0, "d", True), ("s", 3, 1, "L", None, 1, 1, 4, None, None),
     ("s", 4, 2, "M", "", 1, 1, 0, "e", False), ("s", 5, 2, "M", "W1", 1, 1, 8, "e", True), ("t", 1, 1, "M", "W2", 1, 0, 0, "d", None),
