@@ -20,7 +20,7 @@ def mark_last_execution(rows: DataFrame, key: list[str], order: str = "rec") ->
     shown = {f"__k_{k}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("~")) for k in key}
     keyed = rows.withColumns(shown)
     last = keyed.groupBy(*shown).agg(F.max(order).alias("__last"), F.count("*").alias("__rows"))
-    joined = attach(keyed, last, list(shown), "__rows")
+    joined = attach(keyed, last, list(shown), "__rows", [order])
     return joined.select(*rows.columns, (F.col(order) == F.col("__last")).alias("last_execution"))
 
 

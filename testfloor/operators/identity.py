@@ -81,7 +81,7 @@ def latest_pareto(attempts: DataFrame) -> DataFrame:
         ).otherwise(F.when(F.col("run_lo") == F.col("run_hi"), F.col("run_lo"))).alias("__run"),
     )
     known = F.col("__latest").isNotNull()
-    joined = attach(attempts, devices, ["ecid"], "n")
+    joined = attach(attempts, devices, ["ecid"], "n", ["attempt"])
     hit = (F.col("attempt") == F.col("__latest")) & (_run_id() == F.col("__run"))
     wafer_issue = F.col("wafer_issue") if "wafer_issue" in attempts.columns else F.lit(None).cast("string")
     return joined.select(
@@ -102,7 +102,7 @@ def latest_engineering(attempts: DataFrame) -> DataFrame:
         F.when(usable & (F.col("first.r") == F.col("first_other.r")), F.struct("first.r", "first.a")).alias("__first"),
         F.when(usable & (F.col("last.r") == F.col("last_other.r")), F.struct("last.r", "last.a")).alias("__last"),
     )
-    joined = attach(attempts, devices, ["ecid"], "n")
+    joined = attach(attempts, devices, ["ecid"], "n", ["attempt"])
 
     def flag(extreme: str) -> Column:
         hit = (F.col("attempt") == F.col(f"{extreme}.a")) & (_run_id() == F.col(f"{extreme}.r"))

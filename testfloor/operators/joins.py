@@ -12,19 +12,23 @@ HOT_ROWS = 10_000_000
 _SALTS = 1023
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: list[str], rows_per_key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach(
+    rows: DataFrame, facts: DataFrame, key: list[str], rows_per_key: str, spread_by: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Left join of ``facts`` (one row per key, with its number of rows) to ``rows``.
 
     Rows of hot keys get their facts from a broadcast and, like rows with a NULL
-    key, are spread over the tasks of the shuffle join instead of meeting in one.
+    key, are spread over the tasks of the shuffle join instead of meeting in one:
+    their join key is replaced by a hash of ``spread_by`` that matches nothing.
     """
     columns = [c for c in facts.columns if c not in key and c != rows_per_key]
     packed = facts.select(*key, rows_per_key, F.struct(*columns).alias("__facts"))
     hot = packed.filter(F.col(rows_per_key) >= hot_rows).select(*key, F.col("__facts").alias("__hot"))
-    rest = packed.filter(F.col(rows_per_key) < hot_rows).select(*key, F.lit(0).alias("__salt"), "__facts")
     first = rows.join(F.broadcast(hot), key, "left")
     done: Column = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key], F.col("__hot").isNotNull())
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(_SALTS)).cast("int") + 1
-    salted = first.withColumn("__salt", F.when(done, spread).otherwise(0))
-    joined = salted.join(rest, [*key, "__salt"], "left").withColumn("__all", F.coalesce("__hot", "__facts"))
+    own = F.concat(F.lit("="), F.col(key[0]).cast("string"))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(_SALTS)).cast("string")
+    salted = first.withColumn("__key", F.when(done, salt).otherwise(own))
+    rest = packed.filter(F.col(rows_per_key) < hot_rows).select(own.alias("__key"), *key[1:], "__facts")
+    joined = salted.join(rest, ["__key", *key[1:]], "left").withColumn("__all", F.coalesce("__hot", "__facts"))
     return joined.select(*rows.columns, *[F.col(f"__all.{c}").alias(c) for c in columns])

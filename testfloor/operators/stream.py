@@ -332,7 +332,7 @@ def inherit_definitions(tests: DataFrame, order: str = "seq") -> DataFrame:
     ).groupBy(*_TEST).agg(
         F.min(F.struct(order, "f_opt", "f_units", *[f"f_{n}" for n in own])).alias("first"), F.count("*").alias("__rows")
     )
-    joined = attach(tests, first, _TEST, "__rows")
+    joined = attach(tests, first, _TEST, "__rows", [order])
     is_first = F.col(order) == F.col(f"first.{order}")
     opt_used = F.coalesce(opt, F.when(~is_first, F.col("first.f_opt")))
     resolved = {}
@@ -397,7 +397,7 @@ def definition_only(tests: DataFrame, records: DataFrame, chunk_rows: int = CHUN
     a definition, not an ownership error."""
     first = tests.groupBy(*_TEST).agg(F.min("seq").alias("__first"), F.count("*").alias("__rows"))
     executed = verdicts.has_bits(F.col("test_flg"), 0x10) & (F.col("parm_flg") == 0)
-    candidates = attach(tests, first, _TEST, "__rows").filter((F.col("seq") == F.col("__first")) & (F.col("run") > 0) & executed)
+    candidates = attach(tests, first, _TEST, "__rows", ["seq"]).filter((F.col("seq") == F.col("__first")) & (F.col("run") > 0) & executed)
     key = ["source_id", "head", "site"]
     state = F.when(F.col("kind") == "PIR", 1).when(F.col("kind").isin("PRR", "MIR"), 0)
     events = records.filter(_is("PIR", "PRR")).select(*key, "seq", state.alias("open"), F.lit(False).alias("asked"))

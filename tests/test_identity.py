@@ -93,10 +93,21 @@ def test_attach_spreads_hot_and_missing_keys(spark):
     facts = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
     plain = {r.id: (r.k, r.top) for r in rows.join(facts, "k", "left").collect()}
     for hot_rows in (1, 100, 10**9):
-        got = joins.attach(rows, facts, ["k"], "n", hot_rows)
+        got = joins.attach(rows, facts, ["k"], "n", ["id"], hot_rows)
         assert {r.id: (r.k, r.top) for r in got.collect()} == plain and got.count() == 2000
 
 
+def test_spread_keys_are_part_of_the_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "hot").alias("k"), "id")
+        facts = rows.filter("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+        plan = joins.attach(rows, facts, ["k"], "n", ["id"], 100)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(__key" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 ATTEMPTS = [  # source, attempt, run, lot, wafer, head, site, flags, ecid, is_latest
     ("s", 1, 1, "L", "W1", 1, 0, 8, "d", False), ("s", 2, 1, "L", "W1", 1, 0, 0, "d", True), ("s", 3, 1, "L", None, 1, 1, 4, None, None),
     ("s", 4, 2, "M", "", 1, 1, 0, "e", False), ("s", 5, 2, "M", "W1", 1, 1, 8, "e", True), ("t", 1, 1, "M", "W2", 1, 0, 0, "d", None),
