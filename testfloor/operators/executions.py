@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from testfloor.operators.joins import attach
 
 
-def last_executions(rows: DataFrame, key: list[str], order: str = "rec") -> DataFrame:
-    """The last row per ``key``; a mergeable aggregate, no window over the rows of a key."""
-    payload = [c for c in rows.columns if c not in key and c != order]
+def last_executions(rows: DataFrame, key: list[str], order: str = "rec", columns: list[str] | None = None) -> DataFrame:
+    """The last row per ``key``: a mergeable aggregate, no window over the rows of a key.
+
+    ``columns`` names what is needed of the row; nothing else is carried along.
+    """
+    payload = [c for c in (columns or rows.columns) if c not in key and c != order]
     last = rows.groupBy(*key).agg(F.max(F.struct(order, *payload)).alias("__last"))
-    return last.select(*key, "__last.*").select(*rows.columns)
+    return last.select(*key, "__last.*")
 
 
 def mark_last_execution(rows: DataFrame, key: list[str], order: str = "rec") -> DataFrame:

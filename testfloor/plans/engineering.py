@@ -30,12 +30,17 @@ ana as (select * from eng where is_latest and last_execution)"""
 _KEY = ["attempt", "test", "pattern"]
 
 
-def _analysis(spark, sf, **selection) -> DataFrame:
-    """Latest devices, last execution of each test."""
+def _analysis(spark, sf, *columns: str) -> DataFrame:
+    """Latest devices, last execution of each test, with the columns the analysis needs."""
     rows = adapters.engineering_rows(spark, sf)
-    chosen = scope.Selection(**selection)
+    chosen = scope.Selection()
     kept = scope.in_population(scope.in_selection(rows, chosen), chosen.population)
-    return executions.last_executions(kept, _KEY)
+    return executions.last_executions(kept, _KEY, columns=list(columns))
+
+
+_MODE = ("kind", "number", "name", "channel", "passed", "head", "site", "lot")
+_STATS = ("head", "site", "units", "value", "value_state", "low", "high")
+_POINT = ("head", "site", "units", "value")
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -266,12 +271,12 @@ _DEV = """, dv as (select *, case when flags & 20 = 0 then flags & 8 = 0 end as
 
 @query("f20_engineering_pareto_test", _ENG + _eng_pareto_sql("ana", "kind||' '||number||' '||name", "head||'/'||site", "channel is null", False, "t.count<>0"))
 def _(spark, sf):
-    return pareto.engineering_pareto(_analysis(spark, sf), "test", "site")
+    return pareto.engineering_pareto(_analysis(spark, sf, *_MODE), "test", "site")
 
 
 @query("f20_engineering_pareto_pattern", _ENG + _eng_pareto_sql("ana", "coalesce(pattern,'[null]')", "lot", "kind='FTR'", False, "t.count<>0"))
 def _(spark, sf):
-    return pareto.engineering_pareto(_analysis(spark, sf), "pattern", "lot")
+    return pareto.engineering_pareto(_analysis(spark, sf, *_MODE), "pattern", "lot")
 
 
 @query("f20_engineering_pareto_bin", _ENG + _DEV + _eng_pareto_sql("dv", "soft_bin::varchar", "coalesce(wafer,'[null]')", "true", True, "fail<>0 or unknown<>0"))
@@ -282,14 +287,14 @@ def _(spark, sf):
 
 _SUMMARY_SQL = """ select {key} as key, {label} as label, count(*) as count, count(*) filter (passed) as pass,
  count(*) filter (not passed) as fail, count(*) filter (passed is null) as unknown, {stats} from {source} group by 1,2"""
-_STATS = """round(min(value),6) as min, round(max(value),6) as max, round(coalesce(sum(value),0),4) as sum, round(avg(value),6) as mean"""
+_STATS_SQL = """round(min(value),6) as min, round(max(value),6) as max, round(coalesce(sum(value),0),4) as sum, round(avg(value),6) as mean"""
 _NO_STATS = "null::double as min, null::double as max, 0e0 as sum, null::double as mean"
 
 
 @query("f21_test_summary", _ENG + _SUMMARY_SQL.format(
-    key="test", label="kind||' '||number||' '||name||coalesce(' [result '||channel||']','')", stats=_STATS, source="ana"))
+    key="test", label="kind||' '||number||' '||name||coalesce(' [result '||channel||']','')", stats=_STATS_SQL, source="ana"))
 def _(spark, sf):
-    summary = paging.entity_summary(_analysis(spark, sf), "tests")
+    summary = paging.entity_summary(_analysis(spark, sf, *_MODE, "value"), "tests")
     return _rounded(summary, "min", "max", "mean").withColumn("sum", F.round("sum", 4))
 
 
@@ -312,8 +317,8 @@ _ALL = _SERIES_SQL.format(place="''")
 _BY_SITE = _SERIES_SQL.format(place="head||'/'||site")
 
 
-def _series(spark, sf, by_site=False):
-    return distribution.series(_analysis(spark, sf), by_site)
+def _series(spark, sf, by_site=False, columns=_POINT):
+    return distribution.series(_analysis(spark, sf, *columns), by_site)
 
 
 @query("f22_series_statistics", _BY_SITE + """, t as (select test, place, units, count(value) as count,
@@ -325,7 +330,7 @@ def _series(spark, sf, by_site=False):
 select test, place, units, count, invalid, missing, nonfinite, not_numeric, round(m,6) as mean, round(s,6) as sigma, round(mn,6) as min,
  round(mx,6) as max, variable_limits, l as low, h as high, round(case when s>0 and h>l then least((h-m)/(3*s),(m-l)/(3*s)) end,6) as ppk from t""")
 def _(spark, sf):
-    return _rounded(distribution.statistics(_series(spark, sf, True)), "mean", "sigma", "min", "max", "ppk")
+    return _rounded(distribution.statistics(_series(spark, sf, True, _STATS)), "mean", "sigma", "min", "max", "ppk")
 
 
 @query("f23_exact_quantiles", _BY_SITE + """ select test, place, units, """ + ", ".join(
@@ -377,13 +382,13 @@ _PAIR_SQL = _ENG + f""", p as (select attempt, arg_max(value, record_seq) filter
  round(max(x_value) filter (y_value is not null),6) as x_max, round(min(y_value) filter (x_value is not null),6) as y_min,
  round(max(y_value) filter (x_value is not null),6) as y_max, false as mixed_units, round(corr(x_value,y_value),6) as correlation from p""")
 def _(spark, sf):
-    return _rounded(distribution.scatter(_analysis(spark, sf), _X, _Y), "x_min", "x_max", "y_min", "y_max", "correlation")
+    return _rounded(distribution.scatter(_analysis(spark, sf, *_POINT), _X, _Y), "x_min", "x_max", "y_min", "y_max", "correlation")
 
 
 @query("f27_scatter_points", _PAIR_SQL + """ select attempt, site, round(x_value,6) as x_value, round(y_value,6) as y_value
  from p where x_value is not null and y_value is not null order by attempt limit 20000""")
 def _(spark, sf):
-    return _rounded(distribution.scatter_points(_analysis(spark, sf), _X, _Y), "x_value", "y_value")
+    return _rounded(distribution.scatter_points(_analysis(spark, sf, *_POINT), _X, _Y), "x_value", "y_value")
 
 
 @query("f28_bin_map", _ENG + " select attempt, wafer, x, y, hard_bin, soft_bin from flagged where is_latest and wafer is not null and x is not null and y is not null")
@@ -395,7 +400,7 @@ def _(spark, sf):
 @query("f28_parametric_map", _ENG + f""" select count(*) filter (wafer is not null and x is not null and y is not null) as cells,
  count(*) filter (wafer is null or x is null or y is null) as missing_coordinates from ana where test='{_X}'""")
 def _(spark, sf):
-    return distribution.map_coverage(_analysis(spark, sf).filter(F.col("test") == _X))
+    return distribution.map_coverage(_analysis(spark, sf, "x", "y", "wafer").filter(F.col("test") == _X))
 
 
 @query("f29_timing", _ENG + """ select count(duration_ms) as count, sum(duration_ms) as sum_ms,
