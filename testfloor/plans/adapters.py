@@ -86,6 +86,21 @@ select concat('S', user_id % 10) as source_id, event_id as seq, 1 as head, (user
 from events
 """
 
+# The record stream of the strict wafer rule: in every run the sites of head 1 are
+# mapped to two groups, those of head 2 are not mapped.
+LATE_RECORDS_SQL = """
+select source_id, seq * 10 as seq, head, site, kind, cast(null as bigint) as site2,
+       case when kind not in ('WIR','WRR') then null when head = 1 then cast(floor(seq / 2) as bigint) % 2
+            when seq % 5 = 0 then 255 else cast(floor(seq / 2) as bigint) % 2 end as site_grp,
+       case when seq % 7 = 0 then ' ' else wafer_id end as wafer_id,
+       case when kind = 'WRR' and seq % 3 = 0 then concat('F', seq % 25) end as fabwf_id
+from {records} where kind <> 'SDR'
+union all
+select source_id, seq * 10 + 1, 1, cast(0 as bigint), 'SDR', cast(1 as bigint), cast(0 as bigint), null, null from {records} where kind = 'MIR'
+union all
+select source_id, seq * 10 + 2, 1, cast(2 as bigint), 'SDR', cast(3 as bigint), cast(1 as bigint), null, null from {records} where kind = 'MIR'
+"""
+
 # Fields of part and parametric records, one row per field.
 _PRR_FIELD = "select concat('S', o_orderkey % 8) as source_id, o_orderkey * 10 as offset, 'PRR' as record, case when o_orderkey % 8 < 3 then 'cp' when o_orderkey % 8 < 6 then 'ft' else 'unknown' end as flow, {} as field, {} as kind, {} as presence, {} as text, {} as number, cast(null as int) as test_flg, cast(null as int) as opt_flag from orders"
 _PTR_FIELD = "select concat('S', l_orderkey % 8) as source_id, l_orderkey * 10 + l_linenumber as offset, 'PTR' as record, case when l_orderkey % 8 < 3 then 'cp' when l_orderkey % 8 < 6 then 'ft' else 'unknown' end as flow, {} as field, {} as kind, {} as presence, {} as text, {} as number, cast(case l_suppkey % 4 when 0 then 16 when 1 then 128 else 0 end as int) as test_flg, cast(case l_suppkey % 7 when 0 then null when 1 then 64 when 2 then 32 when 3 then 12 else 0 end as int) as opt_flag from lineitem"
@@ -148,6 +163,12 @@ def context_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CONTEXT_RECORDS_SQL)
 
 
+def late_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context_records(spark, sf_dir).createOrReplaceTempView("late_base")
+    rows = spark.sql(LATE_RECORDS_SQL.format(records="late_base"))
+    return rows.withColumn("sites", F.array("site", "site2")).drop("site2").withColumn("site_grp", F.col("site_grp").cast("int"))
+
+
 def sanity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "events")
     return spark.sql(SANITY_RECORDS_SQL)
@@ -220,6 +241,7 @@ def cte(*names: str) -> str:
         "context_records": CONTEXT_RECORDS_SQL,
         "sanity_records": SANITY_RECORDS_SQL,
         "fields": FIELDS_SQL,
+        "late_records": LATE_RECORDS_SQL.format(records="context_records"),
     }
     texts["test_rows"] = "select * from measurements join attempts using (attempt)"
     texts["dashboard_rows"] = """select *,

@@ -83,10 +83,44 @@ def _(spark, sf):
     return stream.open_wafers(rows, opened).drop("own", "shared")
 
 
-@query("b05_late_wafer")
+def _fold_sql() -> str:
+    """The strict wafer rule as a record-by-record fold: a recursive query that carries
+    the opening position of each wafer slot (head 1 and 2, groups 0, 1 and 255)."""
+    slots = [(h, g) for h in (1, 2) for g in (0, 1, 255)]
+    names = ["s%d_%d" % s for s in slots]
+    mine = lambda g: f"(case n.head when 1 then f.s1_{g} else f.s2_{g} end)"
+    count = " + ".join(f"({mine(g)} is not null)::int" for g in (0, 1, 255))
+    only = f"coalesce({mine(0)}, {mine(1)}, {mine(255)})"
+    mapped = "(n.head=1 and n.run>=1)"
+    group = "(case when n.site<2 then 0 else 1 end)"
+    own = f"(case when n.site<2 then {mine(0)} else {mine(1)} end)"
+    side = "n.kind in ('PIR','PTR','MPR','FTR','PRR')"
+    chosen = f"(case when {mapped} then coalesce({own}, {mine(255)}) when {mine(255)} is not null then {mine(255)} when {count}=1 then {only} end)"
+    opens = f"({side} and {chosen} is null and ({mapped} or {count}=0))"
+    at = f"(case n.site_grp when 0 then {mine(0)} when 1 then {mine(1)} else {mine(255)} end)"
+    steps = []
+    for (h, g), name in zip(slots, names):
+        steps.append(f"""case when n.kind='MIR' then null when n.head<>{h} then f.{name} when n.kind='WIR' and n.site_grp={g} then n.seq
+          when n.kind='WRR' and (n.site_grp={g} or ({g}=255 and {at} is null)) then null
+          when {opens} and {g}=(case when {mapped} then {group} else 255 end) then n.seq else f.{name} end""")
+    return f"""{cte('context_records', 'late_records')},
+ n as materialized (select *, row_number() over (partition by source_id order by seq) as rn,
+   count(*) filter (kind='MIR') over (partition by source_id order by seq) as run from late_records),
+ f as (select source_id, 0::bigint as rn, {', '.join(f'null::bigint as {x}' for x in names)}, null::bigint as closed, null::bigint as sel
+   from (select distinct source_id from late_records)
+  union all select n.source_id, n.rn, {', '.join(steps)}, case when n.kind='WRR' then coalesce({at}, {mine(255)}) end,
+   case when {opens} then n.seq when {side} then {chosen} end from f join n on n.source_id=f.source_id and n.rn=f.rn+1),
+ named as (select f.source_id, f.closed as seq, any_value(coalesce(nullif(trim(n.fabwf_id),''), nullif(trim(n.wafer_id),''))) as name
+   from f join n using (source_id, rn) where f.closed is not null group by 1,2)"""
+
+
+@query("b05_late_wafer", _fold_sql().replace("with ", "with recursive ", 1) + SESSION_SQL.format("late_records") + """
+select p.source_id, n.run, p.head, p.site, p.open_seq as seq, p.part_sequence,
+ coalesce(c.name, case when w.kind='WIR' then nullif(trim(w.wafer_id),'') end) as wafer, case when f.sel is null then 'ambiguous_wafer' end as wafer_issue
+ from numbered p join n on p.source_id=n.source_id and p.open_seq=n.seq join f on f.source_id=n.source_id and f.rn=n.rn
+ left join named c on c.source_id=p.source_id and c.seq=f.sel left join late_records w on w.source_id=p.source_id and w.seq=f.sel""")
 def _(spark, sf):
-    """Checked against a sequential fold in the tests; a fold has no plain SQL form."""
-    rows = stream.number_runs(_context(spark, sf))
+    rows = stream.number_runs(adapters.late_records(spark, sf))
     found = stream.attempts(stream.sessions(rows))
     runs = rows.select("source_id", "run", F.col("seq").alias("open_seq"))
     probes = found.join(runs, ["source_id", "open_seq"]).select(
