@@ -207,7 +207,7 @@ def late_wafers(records: DataFrame, probes: DataFrame, chunk_rows: int = CHUNK_R
         stretch=Running("sum", context),
     )
     firsts = staged.filter(_is(*SIDE_KINDS)).groupBy(*scope, *site, "stretch").agg(F.min("seq").alias("seq"))
-    asked = firsts.select(*ident).unionByName(probes.select(*ident)).distinct()
+    asked = materialize(firsts.select(*ident).unionByName(probes.select(*ident)).distinct(), "side-records")
     found = materialize(open_wafers(records, asked, scope, True, chunk_rows), "open-wafers")
 
     mapped = F.col("site_group").isNotNull()

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from testfloor.plans import adapters
 from testfloor.session import scratch_path, ship_package, write_bytes
+from testfloor.sources import stdf
 
 BLOCK = 256
 
@@ -156,13 +157,12 @@ def block_of(path: str = "path") -> Column:
     return F.regexp_extract(path, r"run-(\d+)\.", 1).cast("bigint")
 
 
+_RECORDS: dict[tuple[str, str], DataFrame] = {}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed records of all files, copies included; written out once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir + "#frames")
-    if key not in _FOLDERS:
-        from testfloor.sources import stdf
-
-        path = scratch_path(spark, "frames")
-        stdf.frames(stdf.read_files(spark, [folder(spark, sf_dir)])).write.option("maxRecordsPerFile", 1 << 20).parquet(path)
-        _FOLDERS[key] = path
-    return spark.read.parquet(_FOLDERS[key])
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RECORDS:
+        _RECORDS[key] = stdf.stored(stdf.frames(stdf.read_files(spark, [folder(spark, sf_dir)])))
+    return _RECORDS[key]

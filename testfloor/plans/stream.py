@@ -8,6 +8,7 @@ from testfloor.operators import stream
 from testfloor.plans import adapters
 from testfloor.plans.adapters import cte
 from testfloor.plans.registry import query
+from testfloor.session import materialize
 
 _SIDE = "kind in ('PIR','PTR','MPR','FTR','PRR')"
 
@@ -120,7 +121,8 @@ select p.source_id, n.run, p.head, p.site, p.open_seq as seq, p.part_sequence,
  from numbered p join n on p.source_id=n.source_id and p.open_seq=n.seq join f on f.source_id=n.source_id and f.rn=n.rn
  left join named c on c.source_id=p.source_id and c.seq=f.sel left join late_records w on w.source_id=p.source_id and w.seq=f.sel""")
 def _(spark, sf):
-    rows = stream.number_runs(adapters.late_records(spark, sf))
+    # The numbered stream is read by every step below, as the stored stream of an ingest would be.
+    rows = materialize(stream.number_runs(adapters.late_records(spark, sf)), "numbered-records")
     found = stream.attempts(stream.sessions(rows))
     runs = rows.select("source_id", "run", F.col("seq").alias("open_seq"))
     probes = found.join(runs, ["source_id", "open_seq"]).select(

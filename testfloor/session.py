@@ -80,7 +80,7 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(application)
 
 
-def materialize(df: DataFrame, label: str = "stage", rows_per_file: int = 0) -> DataFrame:
+def materialize(df: DataFrame, label: str = "stage", rows_per_file: int = 0, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage with data that survives the loss of executors, so that two
@@ -88,5 +88,5 @@ def materialize(df: DataFrame, label: str = "stage", rows_per_file: int = 0) ->
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
