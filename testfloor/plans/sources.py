@@ -51,7 +51,8 @@ def _(spark, sf):
 def _(spark, sf):
     good = F.col("kind") != "FRAME_ERROR"
     end = F.col("offset") + 4 + F.col("rec_len")
-    per_file = _records(spark, sf).groupBy("path").agg(
+    per_file = _records(spark, sf).groupBy("source_id").agg(
+        F.max("path").alias("path"),
         F.bool_or("big_endian").alias("big_endian"), F.count_if(good).alias("records"), F.max(F.when(good, F.col("record_seq"))).alias("last_seq"),
         (F.sum(F.when(good, F.col("rec_len") + 4)) == F.max(F.when(good, end))).alias("contiguous"), F.bool_or(~good).alias("cut_short"),
     )
