@@ -115,6 +115,14 @@ def _names_sql(record: str, names: list[str], rows: str) -> str:
     return f"select '{record}' as record, f as field, count(*) as n from {rows}, (select unnest({names!r}) as f) group by 2"
 
 
+@query("a03_event_records", FILES_SQL + """ select kind, n, case kind when 'PTR' then (select sum(l_linenumber) from l where l.kind='PTR') when 'MPR' then 7*n when 'FTR' then 6*n end::bigint as tests
+ from (select kind, sum(n)::bigint as n from kinds where kind not in ('DTR','ATER','GDR','MRR','UNKNOWN_99_77') group by 1)""")
+def _(spark, sf):
+    """All types that carry stream state, decoded in one scan of the stored records."""
+    rows = stdf.decode_events(_unique(spark, sf)).filter("kind <> 'FRAME_ERROR'")
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.sum("test_num").alias("tests"))
+
+
 @query("a04_custom_records", FILES_SQL + f", c as ({_names_sql('CTSR', _SETUP_NAMES, 'blocks')} union all {_names_sql('CTRR', _RESULT_NAMES, '(select 1 from o where o_orderkey % 50=0)')})"
        """ select *, case when field='CHAR_ID_REF' then (select sum(o_orderkey) from o where o_orderkey % 50=0) end::bigint as ids from c""")
 def _(spark, sf):
@@ -369,7 +377,8 @@ select lot_id, wafer_id, test_type, case when test_type='MPR' then case when i=0
  round(sum(case when test_type='PTR' then v::float::double when i>0 then (v+i-1)::float::double end),0) as total,
  count(known) as identified, count(*) filter (o_orderkey % 9=0) as default_parts from r group by all""")
 def _(spark, sf):
-    rows = eav.convert(_unique(spark, sf))
+    files = stdf.read_files(spark, [stdf_files.folder(spark, sf)])
+    rows = eav.convert(stdf.unique_content(stdf.read_events(files)))
     return rows.groupBy("lot_id", "wafer_id", "test_type", "test_txt").agg(
         F.count("*").alias("rows"), F.sum("part_sequence").alias("sequences"), F.count("result").alias("results"),
         F.round(F.sum(F.col("result").cast("double")), 0).alias("total"), F.count("part_merge_key").alias("identified"),

@@ -8,7 +8,6 @@ from testfloor.functions import keys, verdicts
 from testfloor.operators import identity, stream
 from testfloor.operators.ordered import rank_in_order
 from testfloor.session import materialize
-from testfloor.sources import stdf
 
 # Columns of the measurement table.
 EAV = T.StructType([
@@ -148,45 +147,11 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 # --- conversion ---------------------------------------------------------------------
 
-_STREAM = ("MIR", "SDR", "WIR", "WRR", "PIR", "PTR", "MPR", "FTR", "PRR")
-
-
-def event_stream(framed: DataFrame) -> DataFrame:
-    """The records that carry stream state, typed, in one narrow table."""
-    common = {"head": "head_num", "site": "site_num"}
-    extra = {
-        "MIR": {"lot_id": "lot_id", "start_t": "start_t", "job_nam": "job_nam", "job_rev": "job_rev"},
-        "SDR": {"sites": "site_num", "site_grp": "site_grp"},
-        "WIR": {"site_grp": "site_grp", "wafer_id": "wafer_id"},
-        "WRR": {"site_grp": "site_grp", "wafer_id": "wafer_id", "fabwf_id": "fabwf_id"},
-        "PRR": {c: c for c in ("part_flg", "hard_bin", "soft_bin", "x_coord", "y_coord", "test_t", "part_id")},
-        "PTR": {c: c for c in ("test_num", "test_flg", "parm_flg", "result", "test_txt", "opt_flag", "lo_limit", "hi_limit", "units")},
-        "MPR": {c: c for c in ("test_num", "test_flg", "parm_flg", "rtn_icnt", "rslt_cnt", "rtn_stat", "rtn_rslt", "test_txt", "opt_flag", "lo_limit", "hi_limit", "units")},
-        "FTR": {c: c for c in ("test_num", "test_flg", "test_txt", "vect_nam")},
-    }
-    parts = []
-    for kind in _STREAM:
-        rows = stdf.decode(framed, kind).filter("decode_error is null")
-        names = dict(extra.get(kind, {}))
-        if kind != "MIR":
-            names["head"] = common["head"]
-        if kind not in ("MIR", "SDR", "WIR", "WRR"):
-            names["site"] = common["site"]
-        chosen = [F.col(source).alias(target) for target, source in names.items()]
-        parts.append(rows.select("source_id", F.col("record_seq").alias("seq"), F.lit(kind).alias("kind"), *chosen))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    return merged.withColumns({
-        "head": F.col("head").cast("int"), "site": F.col("site").cast("bigint"), "site_grp": F.col("site_grp").cast("int"),
-        "sites": F.col("sites").cast("array<bigint>"), "rtn_rslt": F.col("rtn_rslt").cast("array<double>"),
-        "result": F.col("result").cast("double"), "lo_limit": F.col("lo_limit").cast("double"), "hi_limit": F.col("hi_limit").cast("double"),
-    })
-
-
-def convert(framed: DataFrame) -> DataFrame:
-    """Records to measurement rows, with their ``source_id``, ``record_sequence`` and ``expansion_index``."""
-    events = materialize(stream.number_runs(event_stream(stdf.stored(framed)), ("lot_id",)), "events")
+def convert(records: DataFrame) -> DataFrame:
+    """Typed records (``stdf.read_events``) to measurement rows, with their ``source_id``,
+    ``record_sequence`` and ``expansion_index``."""
+    typed = materialize(records.filter(~F.col("kind").isin("FAR", "FRAME_ERROR", "DECODE_ERROR")), "records")
+    events = materialize(stream.number_runs(typed, ("lot_id",)), "events")
     sessioned = stream.sessions(events)
     numbered = stream.attempts(sessioned)
     context = events.filter(F.col("kind").isin(*stream.SIDE_KINDS)).select(

@@ -34,7 +34,7 @@ def test_flow_of_one_part(spark):
     assert [k for k, _ in kinds(framed)] == ["FAR", "PIR", "PTR", "PRR"]
     ptr = stdf.decode(framed, "PTR").first()
     assert (ptr.test_num, ptr.head_num, ptr.site_num, ptr.result, ptr.test_txt) == (1001, 1, 0, 3.25, None)
-    rows = eav.convert(framed).collect()
+    rows = eav.convert(stdf.decode_events(framed)).collect()
     assert len(rows) == 1 and rows[0].part_pass and rows[0].part_id == "H1_S0_P1" and rows[0].result == 3.25 and rows[0].hard_bin == 1
 
 
@@ -103,6 +103,21 @@ def test_short_record_is_reported_at_its_field(spark):
     assert (states["TEST_FLG"], states["PARM_FLG"], states["RESULT"], states["TEST_TXT"]) == ("present", "truncated", "unread", "unread")
 
 
+def test_events_of_files_and_of_stored_records_agree(spark):
+    short = struct.pack("<HBB", 7, 15, 10) + struct.pack("<IBBB", 5, 1, 0, 0)
+    files = spark.createDataFrame(
+        [("file:/a", bytearray(multi("<"))), ("file:/b", bytearray(multi(">"))), ("file:/c", bytearray(FAR + PIR + short + b"\x01"))],
+        "path string, content binary",
+    )
+    direct, staged = stdf.read_events(files), stdf.decode_events(stdf.stored(stdf.frames(files)))
+    key = lambda df: sorted(str(r) for r in df.collect())
+    assert key(direct) == key(staged)
+    kinds = [r.kind for r in direct.filter("source_id = sha2('file:/c', 256)").orderBy("seq").collect()]
+    assert kinds == ["FAR", "PIR", "DECODE_ERROR", "FRAME_ERROR"]
+    mpr = direct.filter("kind = 'MPR' and test_num = 7").first()
+    assert (mpr.rtn_rslt, mpr.rtn_stat, mpr.site) == ([1.5, -2.5], [1, 2, 3], 2)
+
+
 def test_padding_and_trailing_bytes(spark):
     w = Writer()
     w.header()
