@@ -191,8 +191,8 @@ def _(spark, sf):
     return _pattern_groups(spark, sf)
 
 
-@query("f17_pattern_pareto", _FTR_SQL + """, p as (select pattern, sum(attempts) as attempts, sum(pass) as pass, sum(fail) as fail,
-  sum(unknown) as unknown, sum(not_executed) as not_executed, sum(alarms) as alarms from groups where lot<>'BUILDING' group by 1)
+@query("f17_pattern_pareto", _FTR_SQL + """, p as (select pattern, sum(attempts)::bigint as attempts, sum(pass)::bigint as pass, sum(fail)::bigint as fail,
+  sum(unknown)::bigint as unknown, sum(not_executed)::bigint as not_executed, sum(alarms)::bigint as alarms from groups where lot<>'BUILDING' group by 1)
 select *, round(pass*1e2/nullif(pass+fail,0),6) as yield_percent, round(fail*1e2/nullif(pass+fail,0),6) as failure_rate,
  round(fail*1e2/sum(fail) over (),6) as share,
  round(sum(fail) over (order by fail desc, coalesce(pattern,'[null]') rows unbounded preceding)*1e2/sum(fail) over (),6) as cumulative from p""")
@@ -403,7 +403,7 @@ def _(spark, sf):
     return distribution.map_coverage(_analysis(spark, sf, "x", "y", "wafer").filter(F.col("test") == _X))
 
 
-@query("f29_timing", _ENG + """ select count(duration_ms) as count, sum(duration_ms) as sum_ms,
+@query("f29_timing", _ENG + """ select count(duration_ms) as count, sum(duration_ms)::bigint as sum_ms,
  count(*) filter (duration_ms is null) as missing from flagged where is_latest""")
 def _(spark, sf):
     return distribution.timing(adapters.engineering_devices(spark, sf).filter("is_latest"))

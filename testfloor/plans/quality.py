@@ -369,7 +369,7 @@ def _(spark, sf):
 
 @query("c17_characterization_id", """with r as (select case user_id % 4 when 0 then '0x'||lower(to_hex(event_id)) when 1 then '0X'||upper(to_hex(event_id)) when 2 then event_id::varchar else 'id'||event_id end as raw from events)
 select substr(raw,1,2) in ('0x','0X') as hex, count(*) as n, sum(case when substr(raw,1,2) in ('0x','0X') then ('0x'||substr(raw,3))::bigint
- when regexp_full_match(raw,'[0-9]+') then raw::bigint end) as total from r group by 1""")
+ when regexp_full_match(raw,'[0-9]+') then raw::bigint end)::bigint as total from r group by 1""")
 def _(spark, sf):
     number, branch = F.col("event_id"), F.col("user_id") % 4
     raw = (

@@ -189,7 +189,7 @@ devices as (select source_id, ecid, count(*) as n, max(verdict) filter (up=1) as
    count(*) filter (verdict='pass')>0 and count(*) filter (verdict='fail')>0 as changed, {wanted} as wanted
    from ranked group by 1,2),
 d as (select * from devices where wanted),
-t as (select count(*) as devices, count(*) filter (n>1) as retested_devices, coalesce(sum(n-1),0) as extra_attempts,
+t as (select count(*) as devices, count(*) filter (n>1) as retested_devices, coalesce(sum(n-1),0)::bigint as extra_attempts,
    count(*) filter (changed) as ever_verdict_changed,
    count(*) filter (first='pass') as first_pass, count(*) filter (first='fail') as first_fail,
    count(*) filter (first='unknown') as first_unknown, count(*) filter (last='pass') as latest_pass,
