@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from testfloor.plans import adapters
-from testfloor.session import scratch_path, ship_package, write_bytes
+from testfloor.session import scratch_path, write_bytes
 from testfloor.sources import stdf
 
 BLOCK = 256
@@ -137,7 +137,6 @@ def write_files(spark: SparkSession, sf_dir: str) -> str:
             write_bytes(f"{folder}/{name}", stored)
         return pd.DataFrame({"block": [block], "records": [count]})
 
-    ship_package(spark)
     rows.groupBy("block").applyInPandas(write, "block long, records long").agg(F.sum("records")).collect()
     return folder
 

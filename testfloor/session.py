@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,24 +59,6 @@ def write_bytes(uri: str, content: bytes) -> None:
         out.write(content)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give Python tasks this package, once per application."""
-    application = spark.sparkContext.applicationId
-    if application in _SHIPPED:
-        return
-    package, packed = Path(__file__).resolve().parent, io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as archive:
-        for source in sorted(package.rglob("*.py")):
-            archive.write(source, source.relative_to(package.parent).as_posix())
-    path = f"{scratch_path(spark, 'package')}/testfloor.zip"
-    write_bytes(path, packed.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(application)
-
-
 def materialize(df: DataFrame, label: str = "stage", rows_per_file: int = 0, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
