@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from testfloor.operators import quality
+from testfloor.operators import distribution, identity, quality, yields
 from testfloor.plans import adapters, stdf_files
 from testfloor.plans.adapters import cte
 from testfloor.plans.registry import query
-from testfloor.session import scratch_path
-from testfloor.sources import dataset, eav, stdf
+from testfloor.plans.yields import VERDICT_SQL, YIELD_COUNTS_SQL
+from testfloor.session import materialize, scratch_path
+from testfloor.sources import dataset, eav, stdf, tables
 from testfloor.streaming import ingest as streaming
 
 _NAME = "printf('S%d/run-%09d%s', block % 8, block, case when block % 4=1 then '.stdf.gz' when block % 7=3 then '.STD' else '.stdf' end)"
@@ -329,7 +330,7 @@ def _(spark, sf):
 def _evidence_sql() -> str:
     """Field rows per record type: how many fields a record of the files holds."""
     held = {  # record type: (variant condition over its rows, fields present)
-        "FAR": [("blocks", 2)], "MIR": [("blocks", 14)], "DTR": [("blocks", 1)], "ATER": [("blocks", 5)],
+        "FAR": [("blocks", 2)], "MIR": [("blocks", 14)], "DTR": [("blocks", 1)], "ATER": [("blocks", 6)],
         "SDR": [("(select * from blocks where block % 2=0)", 8)], "WIR": [("blocks", 4)], "WRR": [("blocks", 4)],
         "MRR": [("(select * from blocks where block % 11<>10)", 1)], "PIR": [("o", 2)],
         "PRR": [("(select * from o where o_orderkey % 9=0)", 9), ("(select * from o where o_orderkey % 9<>0)", 10)],
@@ -341,6 +342,7 @@ def _evidence_sql() -> str:
     for record, variants in held.items():
         names = [f.name for f in stdf.layouts()[record]]
         for rows, present in variants:
+            names = names + ["ACTIVITY_BYTES"] if record == "ATER" else names
             states = [(n, "present" if i < present else "omitted") for i, n in enumerate(names)] + [(n, "present") for n in ("REC_LEN", "REC_TYP", "REC_SUB")]
             listed = ", ".join(f"('{n}','{s}')" for n, s in states)
             parts.append(f"select '{record}' as record, v.f as field, v.s as presence from {rows} r, (values {listed}) v(f, s)")
@@ -398,3 +400,59 @@ def _(spark, sf):
         "checkpointLocation", scratch_path(spark, "checkpoint")
     ).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+# --- logs to results ----------------------------------------------------------------
+
+_BUILT: dict[tuple[str, str], tables.Tables] = {}
+
+
+def _tables(spark, sf) -> tables.Tables:
+    """Attempts and tests of all files, stored once per application as an ingest job would."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BUILT:
+        files = stdf.read_files(spark, [stdf_files.folder(spark, sf)])
+        built = tables.build(stdf.unique_content(stdf.read_events(files)))
+        _BUILT[key] = tables.Tables(materialize(built.attempts, "attempts"), materialize(built.tests, "tests"))
+    return _BUILT[key]
+
+
+_PARTS_SQL = """, a as (select *, 'LOT'||block % 10 as lot, case when o_orderkey % 41=0 then 4 when o_orderstatus='O' then 0 when o_orderstatus='F' then 8 else 16 end as flags,
+  case when o_custkey % 17<>0 then 1 end as ecid from o)"""
+
+
+@query("f03_lot_comparison_from_files", FILES_SQL + _PARTS_SQL + f""",
+ rows as (select lot as key, false as excluded, {VERDICT_SQL} as verdict, ecid from a), counts as ({YIELD_COUNTS_SQL})
+select *, round(pass::double/nullif(eligible,0),6) as yield_all, round(pass::double/nullif(pass+fail,0),6) as yield_known,
+  case when eligible=0 then 'zero-eligible' end as yield_all_reason, case when pass+fail=0 then 'zero-known' end as yield_known_reason from counts""")
+def _(spark, sf):
+    return yields.lot_comparison(yields.requested(_tables(spark, sf).attempts))
+
+
+@query("e05_latest_from_files", FILES_SQL + """,
+ d as (select o_orderkey, block, case when o_custkey % 17<>0 then block % 10||'|'||block % 25||'|'||o_custkey % 50||'|'||o_custkey // 50 end as ecid from o),
+ f as (select case when ecid is null then 'unresolved' when block<max(block) over (partition by ecid) then 'earlier'
+   when o_orderkey=max(o_orderkey) over (partition by ecid, block) then 'latest' else 'earlier' end as state from d)
+select state, count(*) as n from f group by 1""")
+def _(spark, sf):
+    flagged = identity.latest_pareto(_tables(spark, sf).attempts)
+    state = F.when(F.col("is_latest").isNull(), "unresolved").when(F.col("is_latest"), "latest").otherwise("earlier")
+    return flagged.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("f22_statistics_from_files", FILES_SQL + f""", r as (select *, {_FLAG} as flg from l),
+ e as (select kind, l_linenumber as num, null::int as channel, l_extendedprice::float::double as v, flg from r where kind='PTR'
+  union all select kind, l_linenumber, null, null, flg from r where kind in ('FTR','MPR')
+  union all select kind, l_linenumber, c, (l_extendedprice+c)::float::double, flg from r, (select unnest([0,1]) as c) x where kind='MPR')
+select kind, num::bigint as number, channel, count(case when flg & 63=0 then v end) as count,
+ count(*) filter (v is not null and flg & 63<>0) as invalid, count(*) filter (v is null) as not_numeric, round(avg(case when flg & 63=0 then v end),2) as mean
+ from e group by 1,2,3""")
+def _(spark, sf):
+    tests = _tables(spark, sf).tests
+    found = distribution.statistics(distribution.series(tests.withColumn("units", F.lit(""))))
+    key = F.from_json("test", "array<string>")
+    named = found.select(
+        key[0].alias("kind"), key[1].cast("bigint").alias("number"), key[3].cast("int").alias("channel"), "count", "invalid", "not_numeric",
+        F.round("mean", 2).alias("mean"),
+    )
+    return named

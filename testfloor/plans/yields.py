@@ -12,7 +12,7 @@ from testfloor.plans.registry import query
 
 VERDICT_SQL = "case when flags & 20 <> 0 then 'unknown' when flags & 8 <> 0 then 'fail' else 'pass' end"
 
-_YIELD_SQL = """
+YIELD_COUNTS_SQL = """
 select case when grouping(key)=1 then 'total' else 'group' end as level, key,
   count(*) as scoped, count(*) filter (not excluded) as eligible, count(*) filter (excluded) as excluded,
   count(*) filter (not excluded and verdict='pass') as pass,
@@ -25,7 +25,7 @@ from rows group by rollup(key)"""
 def yield_sql(key: str, where: str = "true", excluded: str = "false", extra: str = "", base: str = "attempts") -> str:
     return f"""{cte('attempts')}{extra},
 rows as (select *, {key} as key, {excluded} as excluded, {VERDICT_SQL} as verdict from {base} where {where}),
-counts as ({_YIELD_SQL})
+counts as ({YIELD_COUNTS_SQL})
 select *, round(pass::double/nullif(eligible,0),6) as yield_all,
   round(pass::double/nullif(pass+fail,0),6) as yield_known,
   case when eligible=0 then 'zero-eligible' end as yield_all_reason,

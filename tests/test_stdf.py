@@ -94,6 +94,14 @@ def test_arrays_in_both_byte_orders(spark):
         assert [(v.kind, v.value) for v in gdr.gen_data] == [("PAD", None), ("Cn", "hi"), ("R4", "0.5")]
 
 
+def test_event_records_keep_their_bytes(spark):
+    w = Writer()
+    w.header()
+    w.add(137, 10, w.text("EVENT"), w.text("handler"), bytes([1, 2]), bytes([3, 0xFF, 0x00, 0x41]))
+    row = stdf.decode(frames(spark, f=w.content()), "ATER").first()
+    assert (row.rec_custm, row.head_num, row.site_num, bytes(row.activity_bytes)) == ("EVENT", 1, 2, b"\xff\x00A")
+
+
 def test_short_record_is_reported_at_its_field(spark):
     body = struct.pack("<HBB", 7, 15, 10) + struct.pack("<IBBB", 5, 1, 0, 0)
     framed = frames(spark, f=FAR + body)
