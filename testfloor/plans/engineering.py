@@ -11,6 +11,7 @@ from testfloor.plans import adapters
 from testfloor.plans.adapters import cte
 from testfloor.plans.registry import query
 from testfloor.plans.yields import ENGINEERING_SQL, LATEST_SQL, flagged_attempts
+from testfloor.session import materialize
 
 # Engineering rows: value, state, verdict, flags of the device, last execution.
 _ENG = cte("measurements", "attempts") + ENGINEERING_SQL + """,
@@ -231,11 +232,12 @@ def _device_query(name, modes, bins, by, group, having, level=None, **options):
     @query(name, base + _device_sql(source, bins, group, having))
     def _(spark, sf):
         latest = flagged_attempts(spark, sf).filter("is_latest")
-        found = (
-            pareto.bin_modes(latest, level) if bins
-            else pareto.test_modes(adapters.measurements(spark, sf)) if modes == "tests"
-            else pareto.pattern_modes(adapters.measurements(spark, sf))
-        )
+        if bins:
+            return pareto.latest_device_pareto(latest, pareto.bin_modes(latest, level), bins, by, **options)
+        # The latest attempts are few; they select the tests before these are collapsed.
+        latest = materialize(latest.select("attempt", "lot", "wafer", "head", "site"), "latest-attempts")
+        tests = adapters.measurements(spark, sf).join(latest, "attempt", "left_semi")
+        found = pareto.test_modes(tests) if modes == "tests" else pareto.pattern_modes(tests)
         return pareto.latest_device_pareto(latest, found, bins, by, **options)
 
 
