@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import url_rules
+from testfloor.llm import license_scan, quality_rules, url_rules
 from testfloor.llm.registry import query
+from testfloor.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +68,152 @@ def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_rules.verdicts(pages, URL_RULES, URL_PATTERNS)
     return judged.select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+LICENSE_TEMPLATES = license_scan.default_templates()
+LICENSE_GAP, LICENSE_ACCEPT = 3, 0.6
+
+
+def _op8_sql() -> str:
+    values = ", ".join(
+        f"({t}, '{x.label}', {str(x.exact).lower()}, string_split('{x.text}', ' '))"
+        for t, x in enumerate(LICENSE_TEMPLATES)
+    )
+    return f"""
+with d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w
+  from documents
+), w as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d
+), g as (
+  select doc_id, i, word as w1, lead(word) over s as w2, lead(word, 2) over s as w3
+  from w window s as (partition by doc_id order by i)
+), grams as (
+  select doc_id, i, w1 || ' ' || w2 as gram from g where w2 is not null
+  union all select doc_id, i, w1 || ' ' || w2 || ' ' || w3 from g where w3 is not null
+), tw as (
+  select * from (values {values}) v(template, label, exact, ws)
+), tg as (
+  select template, label, exact, len(ws) as length, least(3, len(ws)) as k, j,
+    array_to_string(ws[j + 1 : j + least(3, len(ws))], ' ') as gram
+  from (select *, unnest(range(0, len(ws) - least(3, len(ws)) + 1)) as j from tw)
+), hits as (
+  select distinct doc_id, template, label, exact, length, k, j, i - j as diagonal
+  from grams join tg using (gram)
+), diagonals as (
+  select distinct doc_id, template, exact, diagonal from hits
+), fresh as (
+  select *, case when exact or diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= {LICENSE_GAP}
+    and not exact then 0 else 1 end as f
+  from diagonals
+), islands as (
+  select doc_id, template, diagonal, sum(f) over (partition by doc_id, template order by diagonal) as span from fresh
+), covered as (
+  select h.doc_id, h.template, h.label, h.exact, h.length, s.span, h.diagonal, unnest(range(h.j, h.j + h.k)) as at
+  from hits h join islands s on h.doc_id = s.doc_id and h.template = s.template and h.diagonal = s.diagonal
+), spans as (
+  select doc_id, template, label, exact, span, min(diagonal) as start, count(distinct at) / length as share
+  from covered group by doc_id, template, label, exact, length, span
+), facts as (
+  select doc_id,
+    count(*) filter (where exact and share = 1) as n_base,
+    min(start) filter (where exact and share = 1) as first_word,
+    max(start) filter (where exact and share = 1) as last_word,
+    string_agg(distinct label, ',' order by label) filter (where exact and share = 1) as base_labels,
+    string_agg(distinct label, ',' order by label)
+      filter (where (exact and share = 1) or (not exact and share >= {LICENSE_ACCEPT})) as labels,
+    max(share) filter (where not exact or share = 1) as score
+  from spans group by doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0) as score
+from d left join facts f on d.doc_id = f.doc_id
+"""
+
+
+@query("op8_license_scan", _op8_sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, LICENSE_TEMPLATES, LICENSE_GAP, LICENSE_ACCEPT)
+
+
+QUALITY_GRID = quality_rules.DEFAULT_GRID
+QUALITY_ALLOWED, QUALITY_DELTA = 0.05, 0.05
+
+_RULE_SQL = {
+    "symbol_share": ("n_symbols", "word_chars"),
+    "duplicate_line_share": ("n_dup_lines", "n_lines"),
+    "repeated_word_share": ("n_repeat_words", "n_words"),
+    "mean_word_chars": ("word_chars", "n_words"),
+}
+
+
+def _op9_sql() -> str:
+    share = lambda r: "coalesce({} / nullif({}, 0), 0.0)".format(*_RULE_SQL[r])
+    tests = " union all ".join(
+        f"select stratum, '{r}' as rule, {c}::double as cut, {share(r)} >= {c} as hit from good"
+        for r, cuts in QUALITY_GRID.items()
+        for c in cuts
+    )
+    hits = " or ".join(
+        f"coalesce({share(r)} >= (select cut from chosen c where c.stratum = m.stratum and c.rule = '{r}'), false)"
+        for r in QUALITY_GRID
+    )
+    a, cells = QUALITY_ALLOWED / len(QUALITY_GRID), sum(map(len, QUALITY_GRID.values()))
+    return f"""
+with d as (
+  select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents
+), x as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from d
+), y as (
+  select doc_id, i, word, lead(word) over s as b, lead(word, 2) over s as c from x window s as (partition by doc_id order by i)
+), z as (
+  select doc_id, i, count(*) over (partition by doc_id, word, b, c) as n from y where c is not null
+), r as (
+  select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from z where n > 1)
+  group by doc_id
+), l as (
+  select doc_id, unnest(string_split(t, chr(10))) as line from d
+), m1 as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id
+), m as (
+  select d.doc_id, stratum, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    (length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from d left join m1 using (doc_id) left join r using (doc_id)
+), good as (
+  select * from m where doc_id in (select doc_id from labels where quality = 1)
+), tests as ({tests}
+), counted as (
+  select stratum, rule, cut, count(*) as n, count(*) filter (where hit) as k from tests group by stratum, rule, cut
+), tails as (
+  select *, case when k >= n * {a} then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) end as tail
+  from counted
+), chosen as (
+  select stratum, rule, min(cut) as cut from tails
+  where tail <= {QUALITY_DELTA} / ({cells} * (select count(distinct stratum) from good)) group by stratum, rule
+), b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {hits} as hit from m
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not hit as kept
+from b
+"""
+
+
+@query("op9_quality_rules", _op9_sql())
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    measured = materialize(quality_rules.metrics(docs), "metrics")
+    cuts = quality_rules.cutoffs(measured, labels, QUALITY_GRID, QUALITY_ALLOWED, QUALITY_DELTA)
+    judged = quality_rules.judge(measured, cuts, QUALITY_GRID)
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    kept = ~failed & (F.size("rejected_by") == 0)
+    return judged.select("doc_id", *counts, failed.alias("base_failed"), kept.alias("kept"))
