@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import license_scan, quality_rules, url_rules
+from testfloor.llm import license_scan, neardup, quality_rules, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -217,3 +217,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     kept = ~failed & (F.size("rejected_by") == 0)
     return judged.select("doc_id", *counts, failed.alias("base_failed"), kept.alias("kept"))
+
+
+@query("op1_minhash_dedup")
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
