@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import license_scan, neardup, quality_rules, url_rules
+from testfloor.llm import language, license_scan, neardup, quality_rules, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -222,3 +222,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_dedup")
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+def fold(doc_id: str = "doc_id"):
+    """The fold of a document: 2 is held out."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4))
+
+
+def trained(docs: DataFrame) -> language.Model | None:
+    return language.train(docs.filter(fold() != 2))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = language.predict(docs.select("doc_id", "text"), trained(docs.select("doc_id", "text", "lang")))
+    return judged.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
