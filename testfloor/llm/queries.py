@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import language, license_scan, neardup, quality_rules, url_rules
+from testfloor.llm import decontaminate, language, license_scan, neardup, quality_rules, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -238,3 +238,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = language.predict(docs.select("doc_id", "text"), trained(docs.select("doc_id", "text", "lang")))
     return judged.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
