@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, language, license_scan, neardup, quality_rules, url_rules
+from testfloor.llm import decontaminate, language, license_scan, neardup, pii, quality_rules, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -243,3 +243,27 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_decontaminate")
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rank = lambda s: F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"])
+    merged = F.transform(
+        F.array_sort(
+            F.transform(
+                F.concat("base", "added"),
+                lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")),
+            )
+        ),
+        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")),
+    )
+    rows = found.select("doc_id", "base", "added", merged.alias("merged"))
+    return rows.select(
+        "doc_id",
+        *[of(k) for k in pii.KINDS],
+        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"),
+        pii.listed("merged").alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
