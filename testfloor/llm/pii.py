@@ -75,9 +75,9 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k",
     "․": ".", "。": ".", "﹫": "@",
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
-    " ": " ", " ": " ", " ": " ",
+    "\u00a0": " ", "\u2009": " ", "\u202f": " ",
 }
-INVISIBLE = frozenset("­​‌‍⁠﻿")
+INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 
 # Digits in words.
 SPELLED = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, language, license_scan, neardup, pii, quality_rules, url_rules
+from testfloor.llm import decontaminate, language, license_scan, neardup, packing, pii, quality_rules, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -267,3 +267,22 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.listed("merged").alias("spans"),
         F.size("added").cast("long").alias("n_added"),
     )
+
+
+SEQUENCE_TOKENS, END_ID = 2048, 1
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, tokenizer_file(), END_ID, SEQUENCE_TOKENS, with_ids=False)
+    packed = packing.assign(cut, SEQUENCE_TOKENS)
+    return packed.select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "seq_length"
+    )
