@@ -50,28 +50,53 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def solve(demand: np.ndarray, capacity: int, max_steps: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and their fractional numbers that meet ``demand`` of sizes 1..n with least sequences."""
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    # Written out: threaded linear algebra can stall beside the JVM of a Spark driver.
+    return (matrix * vector).sum(axis=1)
+
+
+def _invert(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan elimination with row pivots (at most 256 rows)."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        j = i + int(np.abs(work[i:, i]).argmax())
+        if j != i:
+            work[[i, j]] = work[[j, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i][None, :]
+    return work[:, n:]
+
+
+def solve(demand: np.ndarray, capacity: int, max_steps: int = 8_000, gap: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows) and their fractional numbers that meet ``demand`` of sizes 1..n with least sequences.
+
+    Prices divided by the best pattern's value bound the optimum from below; the search ends when the patterns are
+    within ``gap`` of the bound, or when both round up to the same number of sequences.
+    """
     wanted = np.flatnonzero(demand)
-    d = demand[wanted].astype(float)
     m = len(wanted)
+    d = demand[wanted].astype(float)
     sizes = wanted + 1
     patterns = np.zeros((m, m))
     np.fill_diagonal(patterns, capacity // sizes)  # row i: the pattern basic in row i
     inverse = np.diag(1.0 / (capacity // sizes))  # of the matrix whose columns are the basic patterns
-    x = inverse @ d
+    x = _times(inverse, d)
     prices = np.zeros(len(demand))
     for step in range(max_steps):
         if step % 200 == 199:
-            inverse = np.linalg.inv(patterns.T)
-            x = np.maximum(inverse @ d, 0)
+            inverse = _invert(patterns.T)
+            x = np.maximum(_times(inverse, d), 0)
         prices[:] = 0
         prices[wanted] = np.maximum(inverse.sum(axis=0), 0)
         value, pattern = knapsack(prices, capacity)
-        if value <= 1 + 1e-7:
+        bound = float((prices[wanted] * d).sum()) / max(value, 1.0)
+        if value <= 1 + 1e-7 or x.sum() <= bound * (1 + gap) or np.ceil(x.sum() - 0.01) <= np.ceil(bound - 0.01):
             break
         column = pattern[wanted].astype(float)
-        direction = inverse @ column
+        direction = _times(inverse, column)
         able = direction > 1e-9
         if not able.any():
             break
@@ -83,8 +108,9 @@ def solve(demand: np.ndarray, capacity: int, max_steps: int = 20_000) -> tuple[n
         x = x - moved * direction
         x[out] = moved
         pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
+        inverse -= direction[:, None] * pivot[None, :]
         inverse[out] = pivot
+    x = _times(_invert(patterns.T), d)
     full = np.zeros((m, len(demand)), np.int64)
     full[:, wanted] = np.rint(patterns).astype(np.int64)
     return full, np.maximum(x, 0)
@@ -97,7 +123,7 @@ def plan(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     if not left.sum():
         return out
     for pattern, x in zip(*solve(left, capacity)):
-        times = int(np.floor(x + 1e-9))
+        times = int(np.floor(x + 1e-6))
         if times and pattern.any():
             on = pattern > 0
             times = min(times, int((left[on] // pattern[on]).min()))
