@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, language, license_scan, neardup, packing, pii, quality_rules, url_rules
+from testfloor.llm import decontaminate, language, license_scan, neardup, packing, pii, quality_rules, substrings, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -286,3 +286,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "seq_length"
     )
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove(table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
