@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, language, license_scan, neardup, packing, pii, quality_rules, substrings, url_rules
+from testfloor.llm import decontaminate, language, license_scan, neardup, packing, pii, quality_rules, substrings, token_files, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -292,3 +292,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove(table(spark, sf_dir, "documents"), window=50)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SEPARATOR_ID = 50256
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write(docs, tokenizer_file(), SEPARATOR_ID)
+    found = token_files.counts(manifest.select("file", "size"), SEPARATOR_ID)
+    return manifest.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
