@@ -27,6 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     for module in _MODULES:
         importlib.import_module(f"testfloor.llm.{module}")
+    importlib.import_module("corpus_pipeline")
 
 
 def queries() -> dict[str, Query]:
