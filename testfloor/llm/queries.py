@@ -111,10 +111,10 @@ with d as (
 ), islands as (
   select doc_id, template, diagonal, sum(f) over (partition by doc_id, template order by diagonal) as span from fresh
 ), covered as (
-  select h.doc_id, h.template, h.label, h.exact, h.length, s.span, h.diagonal, unnest(range(h.j, h.j + h.k)) as at
+  select h.doc_id, h.template, h.label, h.exact, h.length, s.span, h.diagonal, unnest(range(h.j, h.j + h.k)) as spot
   from hits h join islands s on h.doc_id = s.doc_id and h.template = s.template and h.diagonal = s.diagonal
 ), spans as (
-  select doc_id, template, label, exact, span, min(diagonal) as start, count(distinct at) / length as share
+  select doc_id, template, label, exact, span, min(diagonal) as start, count(distinct spot) / length as share
   from covered group by doc_id, template, label, exact, length, span
 ), facts as (
   select doc_id,
