@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from testfloor.llm.components import components
 from testfloor.llm.words import blocks, find_words, lowered, mix, text_bytes
@@ -48,9 +48,24 @@ def shingle_sets(data: np.ndarray, edges: np.ndarray, k: int) -> tuple[np.ndarra
     return row[fresh], value[fresh]
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, edges = text_bytes(batch.column(1))
+            for a, b in blocks(edges):
+                row, value = shingle_sets(data, edges[a : b + 1], k)
+                shingles = _lists(value.view(np.int64), np.bincount(row, minlength=b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), shingles], names=["doc_id", "shingles"])
+
+    return run
+
+
 def _sketch(k: int, collections: int, width: int):
     seeds = mix(np.arange(1, collections * width + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    left, right = np.triu_indices(collections, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,33 +85,38 @@ def _sketch(k: int, collections: int, width: int):
                                 part[c, filled] = mix(part[c, filled] * _U(5) + low)
                         for i in range(2):
                             marks[i, filled] = np.add.reduceat(mix(value + _U(77 + i)), first)
-                with np.errstate(over="ignore"):
-                    keys = mix(part[left] * _U(0xD6E8FEB86659FD93) + part[right] + np.arange(len(left), dtype=_U)[:, None])
-                keys = np.ascontiguousarray(keys.T[filled]).view(np.int64).ravel()
-                per_row = np.where(sizes > 0, len(left), 0)
-                lists = lambda v, n: pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v)
-                )
+                keys = np.ascontiguousarray(part.T[filled]).view(np.int64).ravel()
+                per_row = np.where(sizes > 0, collections, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(marks[0].view(np.int64)),
                         pa.array(marks[1].view(np.int64)),
-                        lists(keys, per_row),
-                        lists(value.view(np.int64), sizes),
+                        _lists(keys, per_row),
                     ],
-                    names=["doc_id", "n_shingles", "mark1", "mark2", "keys", "shingles"],
+                    names=["doc_id", "n_shingles", "mark1", "mark2", "parts"],
                 )
 
     return run
 
 
-_SCHEMA = "doc_id {}, n_shingles long, mark1 long, mark2 long, keys array<long>, shingles array<long>"
+_SCHEMA = "doc_id {}, n_shingles long, mark1 long, mark2 long, parts array<long>"
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets reach the similarity."""
+def _keys(collections: int) -> Column:
+    """The table keys: one for every pair of collections."""
+    pairs = [(i, j) for i in range(collections) for j in range(i + 1, collections)]
+    return F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("parts")[i], F.col("parts")[j]) for i, j in pairs])
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, made anew from the texts of these documents only, reach the similarity."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = materialize(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(k), f"doc_id {kind}, shingles array<long>")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -119,13 +139,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, collections: int = 14
     classes = materialize(filled.groupBy(*mark).agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi")
     reps = materialize(reps.dropDuplicates(["doc_id", *mark]), "representatives")
-    entries = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    entries = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode(_keys(collections)).alias("key"))
     centres = entries.groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("c"), F.count("*").alias("size"))
     shared = centres.filter("size > 1").select("key", F.col("c.doc_id").alias("a"), F.col("c.n").alias("an"))
     members = materialize(entries.join(shared, "key"), "buckets")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = members.filter(fits(F.col("an"), F.col("n"))).select("a", F.col("doc_id").alias("b")).filter("a <> b")
-    links = materialize(_confirm(stars.distinct(), reps, percent), "star-links")
+    links = materialize(_confirm(stars.distinct(), docs, k, percent), "star-links")
     found = components(links)
     named = members.select("key", "doc_id", "n").join(
         found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
@@ -137,7 +157,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, collections: int = 14
     right = open_.select("key", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("component").alias("cb"))
     crossing = left.join(right, "key").filter((F.col("ca") < F.col("cb")) & fits(F.col("an"), F.col("bn")))
     crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirm(crossing, reps, percent)
+    more = _confirm(crossing, docs, k, percent)
     found = components(links.union(more))
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         *mark, F.coalesce("component", "rep").alias("component_id")
