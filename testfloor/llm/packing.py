@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from testfloor.llm.words import per_worker
 from testfloor.session import materialize
@@ -173,10 +173,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, w
         added.append(("ids", pa.list_(pa.int32())))
     names = [n for n, _ in added] + ["text"]
     kept = [c for c in docs.columns if c.lower() not in names]
-    types = {"int64": "long", "list<item: int32>": "array<int>"}
     schema = docs.select(*kept).schema
     for name, kind in added:
-        schema = schema.add(name, "array<int>" if name == "ids" else types[str(kind)])
+        schema = schema.add(name, T.LongType() if kind == pa.int64() else T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
