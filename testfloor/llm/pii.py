@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -85,8 +85,13 @@ SPELLED = {
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 
-_DIGIT_RUN = re.compile(r"(?i)\b(?:zero|one|two|three|four|five|six|seven|eight|nine)(?:[ -](?:zero|one|two|three|four|five|six|seven|eight|nine)){3,}\b")
+_DIGIT_RUN = re.compile(
+    r"(?i)\b(?=[zotfsen])(?:zero|one|two|three|four|five|six|seven|eight|nine)"
+    r"(?:[ -](?:zero|one|two|three|four|five|six|seven|eight|nine)){3,}\b"
+)
 _WORD = re.compile(r"[A-Za-z]+")
+# Characters that stand for others (see _plain).
+_FOREIGN = re.compile(f"(?![0-9])[\\d！-～{''.join([*LOOKALIKES, *map(str.upper, LOOKALIKES), *INVISIBLE])}]")
 _AT = re.compile(r"(?i) ?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}|<at>) ?")
 _DOT = re.compile(r"(?i) ?(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}|<dot>|\[\.\]|\(\.\)) ?")
 # Bare words are taken for signs only in a whole address that ends in a usual domain.
@@ -96,7 +101,10 @@ _BARE = re.compile(
 )
 _BARE_SIGN = re.compile(r"(?i) (at|dot) ")
 
-Mapped = tuple[str, list[int], list[int]]  # text, and the source span of each character
+_BRACKET = re.compile(r"[\[({<]")
+_BARE_HINT = re.compile(r"(?i) (?:at|dot) ")
+
+Mapped = tuple[str, Sequence[int], Sequence[int]]  # text, and the source span of each character
 
 
 def _plain(c: str) -> str:
@@ -127,7 +135,7 @@ def rewrite(mapped: Mapped, pattern: re.Pattern, replace) -> Mapped:
         done = m.end()
     if not done:
         return mapped
-    return "".join([*out, text[done:]]), a + starts[done:], b + ends[done:]
+    return "".join([*out, text[done:]]), [*a, *starts[done:]], [*b, *ends[done:]]
 
 
 def _inner(m: re.Match, sign: re.Pattern, value) -> Iterator[tuple[str, int, int]]:
@@ -147,25 +155,28 @@ def _spelled(m: re.Match) -> Iterator[tuple[str, int, int]]:
 
 def normalise(text: str) -> Mapped:
     """The rewritten text and the source span of each of its characters."""
-    if text.isascii():
-        mapped: Mapped = (text, list(range(len(text))), list(range(1, len(text) + 1)))
-    else:
-        pairs = [(p, i) for i, p in enumerate(map(_plain, text)) if p]
-        mapped = ("".join(p for p, _ in pairs), [i for _, i in pairs], [i + 1 for _, i in pairs])
+    mapped: Mapped = (text, range(len(text)), range(1, len(text) + 1))
+    if not text.isascii():
+        mapped = rewrite(mapped, _FOREIGN, lambda m: [(_plain(m[0]), *m.span())])
     mapped = rewrite(mapped, _DIGIT_RUN, _spelled)
     mapped = rewrite(mapped, _AT, lambda m: [("@", *m.span())])
     mapped = rewrite(mapped, _DOT, lambda m: [(".", *m.span())])
+    if not _BARE_HINT.search(mapped[0]):
+        return mapped
     sign = {"at": "@", "dot": "."}
     return rewrite(mapped, _BARE, lambda m: _inner(m, _BARE_SIGN, lambda s: sign[s[1].lower()]))
 
 
-# A text without any of these cannot change when rewritten.
-_DISGUISE = re.compile(_DIGIT_RUN.pattern + r"|[^\x00-\x7f]|\b(?:at|dot)\b|[\[(]\.[\])]")
+def _can_change(text: str) -> bool:
+    """Whether the text has what a rewriting needs; cheap, as most texts have not."""
+    if not text.isascii() and any(c >= "\x80" and _plain(c) != c for c in set(text)):
+        return True
+    return bool(_BARE_HINT.search(text) or _BRACKET.search(text) or _DIGIT_RUN.search(text))
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Identifiers that only the rewritten text shows, as source spans, by start, then kind."""
-    if not _DISGUISE.search(text):
+    if not _can_change(text):
         return []
     plain, starts, ends = normalise(text)
     if plain == text:
