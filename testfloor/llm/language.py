@@ -7,7 +7,7 @@ calibrated with a temperature fitted on labelled texts left out of training.
 
 Document frequencies count all labelled documents. The model itself is fitted on
 a bounded sample: at most about ``per_language`` documents of each language and
-``MAX_SAMPLE`` in all, chosen by a hash of the text.
+``MAX_SAMPLE`` in all, distinct and chosen by a hash of the text.
 """
 
 from __future__ import annotations
@@ -132,14 +132,15 @@ def fit(
 def train(labelled: DataFrame, per_language: int = 500) -> Model | None:
     """A model from the rows of ``labelled`` (text, lang); None if none has a text and a language.
 
-    Rows without text, letters or language are not used; repeated rows count repeatedly.
+    Rows without text, letters or language are not used. Repeated rows count repeatedly in the frequencies and once
+    in the sample, so a large group of copies cannot fill it.
     """
     rows = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").count()
     # Languages with fewer rows are taken whole, others in proportion.
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000
-    some = rows.join(counts, "lang").filter(drawn).orderBy(F.xxhash64("text"), "lang").limit(MAX_SAMPLE)
+    some = rows.join(counts, "lang").filter(drawn).select("text", "lang").distinct().orderBy(F.xxhash64("text"), "lang").limit(MAX_SAMPLE)
     sample = [(r["text"], r["lang"]) for r in some.select("text", "lang").toLocalIterator()]
     if not sample:
         return None
