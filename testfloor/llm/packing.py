@@ -14,7 +14,9 @@ The driver sees the histogram only: one number per class, whatever the table's s
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -148,18 +150,57 @@ def plan(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def encoder(path: str):
-    """The tokenizer of a file, one per Python worker; texts never count as special tokens."""
+# How a byte-level tokenizer cuts a text into words. On texts of these characters all versions of Unicode's tables
+# agree on what is a letter, a digit and a space; other texts are left to the tokenizers library.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN_TEXT = re.compile("[\t\n\r -~¡-¬®-ÿ]*")
+
+
+def _ranks(form: dict) -> dict[bytes, int] | None:
+    """The byte strings of a byte-level BPE vocabulary by id, None if the file has another kind or order of merging."""
+    model, cut = form["model"], form["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    unset = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    special = all(t["special"] for t in form["added_tokens"])
+    if not plain or form["normalizer"] or model["type"] != "BPE" or any(model.get(x) for x in unset) or not special:
+        return None
+    ids = model["vocab"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if any(ids[x + y] != 256 + i for i, (x, y) in enumerate(merges)):
+        return None
+    # A byte that prints is written as itself, the others as the characters from 256 on.
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted({*range(256)} - {*shown})
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    left_out = {t["content"] for t in form["added_tokens"]}
+    return {bytes(byte[c] for c in word): i for word, i in ids.items() if word not in left_out}
+
+
+class Encoder:
+    """Ids of whole texts by a file of the tokenizers library; texts never count as special tokens.
+
+    For a byte-level file, plain texts get the same ids from the same merges by tiktoken, in a fifth of the time.
+    """
 
-    def make():
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True
-        return made
+        self.made = Tokenizer.from_file(path)
+        self.made.encode_special_tokens = True
+        ranks = _ranks(json.loads(self.made.to_str()))
+        self.plain = ranks and tiktoken.Encoding(path, pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if self.plain and _PLAIN_TEXT.fullmatch(text):
+            return self.plain.encode_ordinary(text)
+        return self.made.encode(text, add_special_tokens=False).ids
+
 
-    return per_worker(f"tokenizer:{path}", make)
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, one per Python worker."""
+    return per_worker(f"tokenizer:{path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, with_ids: bool = True) -> DataFrame:
@@ -186,7 +227,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, w
                 values: dict[str, list] = {n: [] for n, _ in added}
                 for r, value in enumerate(batch.column(len(kept))):
                     text = value.as_py() or ""
-                    ids = np.array([*made.encode(text, add_special_tokens=False).ids, end_id], np.uint32)
+                    ids = np.array([*made.ids(text), end_id], np.uint32)
                     for start in range(0, len(ids), capacity):
                         part = ids[start : start + capacity]
                         rows.append(r)

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from testfloor.llm import packing
@@ -73,3 +74,15 @@ def test_nulls_repeats_and_empty(spark):
     assert sorted(map(len, (r.ids for r in out))) == sorted(r.length for r in out)
     assert len(out) == 4 and {r.sequence_id for r in out} == {0}
     assert packing.assign(packing.pieces(docs.limit(0), tokenizer_file(), 1)).count() == 0
+
+
+def test_ids_equal_the_tokenizers_library(sf):
+    made = packing.Encoder(tokenizer_file())
+    assert made.plain
+    rng = random.Random(3)
+    alphabet = "aZ9'.,-!$ \t\n\r éÀß¼²ªж中 　\x1c\x85​'srevtmld<|endoftext|>"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
+    texts += ["", "a" * 5000, " " * 5000, "<|endoftext|>"]
+    texts += [t or "" for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
+    for text in texts:
+        assert made.ids(text) == made.made.encode(text, add_special_tokens=False).ids, text
