@@ -294,12 +294,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-SEPARATOR_ID = 50256
+SEPARATOR_ID, ID_BYTES = 50256, 2  # the vocabulary has 50,257 ids
 
 
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = token_files.write(docs, tokenizer_file(), SEPARATOR_ID)
-    found = token_files.counts(manifest.select("file", "size"), SEPARATOR_ID)
+    manifest = token_files.write(docs, tokenizer_file(), SEPARATOR_ID, id_bytes=ID_BYTES)
+    found = token_files.counts(manifest.select("file", "size"), SEPARATOR_ID, id_bytes=ID_BYTES)
     return manifest.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
