@@ -36,31 +36,36 @@ def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _each(batches: Iterator[pa.RecordBatch]):
-    """(batch, row, Words, hashes of the row's words) of every text."""
+    """(rows of a block, Words, word span and hashes of every row) of every block of texts."""
     for batch in batches:
         data, edges = text_bytes(batch.column(1))
         for a, b in blocks(edges):
             w = find_words(data, edges[a : b + 1])
             hashes = w.hashes()
-            for r in range(b - a):
-                yield batch, a + r, w, slice(w.first[r], w.first[r + 1]), hashes[w.first[r] : w.first[r + 1]]
+            spans = [slice(w.first[r], w.first[r + 1]) for r in range(b - a)]
+            yield batch.slice(a, b - a), w, [(span, hashes[span]) for span in spans]
 
 
 def _anchors(window: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, r, _, _, hashes in _each(batches):
-            n = len(hashes)
-            grams = rolling(hashes, seed) if n >= window else np.zeros(0, _U)
-            at = winnow(grams, window - seed + 1)
-            marks = [int((rolling(hashes, n, i)[0] if n else _U(0)).view(np.int64)) for i in (0, 1)]
+        for rows, w, each in _each(batches):
+            marks, found, places = ([], []), [], []
+            for _, hashes in each:
+                n = len(hashes)
+                grams = rolling(hashes, seed) if n >= window else np.zeros(0, _U)
+                at = winnow(grams, window - seed + 1)
+                for i in (0, 1):
+                    marks[i].append(int((rolling(hashes, n, i)[0] if n else _U(0)).view(np.int64)))
+                found.append(grams[at].view(np.int64))
+                places.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(r, 1),
-                    pa.array([n], pa.int64()),
-                    pa.array([marks[0]], pa.int64()),
-                    pa.array([marks[1]], pa.int64()),
-                    pa.array([grams[at].view(np.int64)], pa.list_(pa.int64())),
-                    pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
+                    rows.column(0),
+                    pa.array(w.counts, pa.int64()),
+                    pa.array(marks[0], pa.int64()),
+                    pa.array(marks[1], pa.int64()),
+                    pa.array(found, pa.list_(pa.int64())),
+                    pa.array(places, pa.list_(pa.int32())),
                 ],
                 names=["doc_id", "n_words", "mark1", "mark2", "hashes", "places"],
             )
@@ -72,22 +77,28 @@ def _windows(window: int, seed: int):
     """(doc_id, first, second, at) of all windows that contain a seed of the row's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, r, _, _, hashes in _each(batches):
-            n = len(hashes) - window + 1
-            if n <= 0:
-                continue
-            near = np.zeros(n + 1, np.int64)
-            seeds = np.asarray(batch.column(2)[r].as_py(), np.int64)
-            np.add.at(near, np.clip(seeds + seed - window, 0, n), 1)
-            np.add.at(near, np.minimum(seeds + 1, n), -1)
-            at = np.flatnonzero(np.cumsum(near)[:n] > 0)
-            if len(at):
+        for rows, _, each in _each(batches):
+            owner, first, second, places = [], [], [], []
+            for r, (_, hashes) in enumerate(each):
+                n = len(hashes) - window + 1
+                if n <= 0:
+                    continue
+                near = np.zeros(n + 1, np.int64)
+                seeds = np.asarray(rows.column(2)[r].as_py(), np.int64)
+                np.add.at(near, np.clip(seeds + seed - window, 0, n), 1)
+                np.add.at(near, np.minimum(seeds + 1, n), -1)
+                at = np.flatnonzero(np.cumsum(near)[:n] > 0)
+                owner.append(np.full(len(at), r))
+                first.append(rolling(hashes, window, 0)[at])
+                second.append(rolling(hashes, window, 1)[at])
+                places.append(at)
+            if owner:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(np.full(len(at), r))),
-                        pa.array(rolling(hashes, window, 0)[at].view(np.int64)),
-                        pa.array(rolling(hashes, window, 1)[at].view(np.int64)),
-                        pa.array(at.astype(np.int32)),
+                        rows.column(0).take(pa.array(np.concatenate(owner))),
+                        pa.array(np.concatenate(first).view(np.int64)),
+                        pa.array(np.concatenate(second).view(np.int64)),
+                        pa.array(np.concatenate(places).astype(np.int32)),
                     ],
                     names=["doc_id", "first", "second", "at"],
                 )
@@ -97,31 +108,36 @@ def _windows(window: int, seed: int):
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, r, w, span, hashes in _each(batches):
-            n = len(hashes)
-            gone = np.zeros(n + 1, np.int64)
-            if batch.column(3)[r].as_py():
-                gone[0] = 1 if n >= window else 0
-            else:
-                starts = np.asarray(batch.column(2)[r].as_py() or [], np.int64)
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + window, -1)
-            drop = np.cumsum(gone)[:n] > 0
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
-            data = w.data.tobytes() if n else b""
-            kept = b" ".join(
-                data[s:e] for s, e in zip(w.starts[span][~drop].tolist(), w.ends[span][~drop].tolist())
-            )
-            repeats = [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])]
+        for rows, w, each in _each(batches):
+            data, starts_of, copies = w.data.tobytes(), rows.column(2), rows.column(3)
+            removed, digests, repeats, texts = [], [], [], []
+            for r, (span, hashes) in enumerate(each):
+                n = len(hashes)
+                gone = np.zeros(n + 1, np.int64)
+                if copies[r].as_py():
+                    gone[0] = 1 if n >= window else 0
+                else:
+                    starts = np.asarray(starts_of[r].as_py() or [], np.int64)
+                    np.add.at(gone, starts, 1)
+                    np.add.at(gone, starts + window, -1)
+                drop = np.cumsum(gone)[:n] > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
+                kept = b" ".join(
+                    data[s:e] for s, e in zip(w.starts[span][~drop].tolist(), w.ends[span][~drop].tolist())
+                )
+                removed.append(int(drop.sum()))
+                digests.append(hashlib.sha256(kept).hexdigest())
+                repeats.append([{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2])])
+                texts.append(kept.decode("utf-8", "surrogatepass"))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(r, 1),
-                    pa.array([n], pa.int64()),
-                    pa.array([int(drop.sum())], pa.int64()),
-                    pa.array([hashlib.sha256(kept).hexdigest()]),
-                    pa.array([repeats], kind),
-                    pa.array([kept.decode("utf-8", "surrogatepass")], pa.string()),
+                    rows.column(0),
+                    pa.array(w.counts, pa.int64()),
+                    pa.array(removed, pa.int64()),
+                    pa.array(digests, pa.string()),
+                    pa.array(repeats, kind),
+                    pa.array(texts, pa.string()),
                 ],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept_text"],
             )
