@@ -163,12 +163,14 @@ def remove(docs: DataFrame, window: int = 50, seed: int = 25) -> DataFrame:
     anchors = reps.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("a"))
     anchors = anchors.select("doc_id", F.col("a.hashes").alias("hash"), F.col("a.places").alias("at"))
     shared = anchors.groupBy("hash").agg((F.min("doc_id") < F.max("doc_id")).alias("many")).filter("many").select("hash")
+    # Written tables on the small side: Spark then splits the partition of a passage that very many documents share.
+    shared = materialize(shared, "shared-anchors")
     seeds = anchors.join(shared, "hash").groupBy("doc_id").agg(F.collect_list("at").alias("seeds"))
     seeded = rows.join(seeds, "doc_id").select("doc_id", "text", "seeds")
     windows = seeded.mapInArrow(_windows(window, seed), f"doc_id {kind}, first long, second long, at int")
     windows = materialize(windows, "windows")
     low = windows.groupBy("first", "second").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    low = low.filter("low < high").select("first", "second", "low")
+    low = materialize(low.filter("low < high").select("first", "second", "low"), "lowest")
     later = windows.join(low, ["first", "second"]).filter("doc_id > low")
     starts = later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     copies = long.join(first.withColumnRenamed("doc_id", "rep"), marks).filter("doc_id > rep")
