@@ -2,15 +2,17 @@
 
 A mask picks some of the positions of a stretch of words. The hash of the picked
 words is the same in two texts that differ at the other positions, so a seed hit
-survives substituted words. Hits of documents and benchmark items are joined by
+survives a substituted word. Hits of documents and benchmark items are joined by
 hash; each gives a diagonal (place in the document minus place in the item).
 Along a diagonal the best-scoring stretch (+1 for an equal word, -4 for another)
 is the overlap: at least 4 of 5 of its words are equal. An overlap of
 ``min_words`` equal words (or of the whole item, if shorter) is a contamination.
+The masks hit every such overlap of items as long as the masks (see ``covering_masks``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,31 +24,60 @@ from testfloor.session import materialize
 
 _U = np.uint64
 
-# Eight words are looked at in each; the longest span is 17.
-MASKS = ("11111111", "1101011011001", "110010110101001", "10110011010110001")
+
+
+def covering_masks(min_words: int, penalty: int) -> tuple[str, ...]:
+    """Masks of which one hits every overlap that the criterion accepts.
+
+    No beginning of a best stretch scores below 0. So it has at least ``penalty`` equal
+    words before its first other word and twice as many before its second (if there
+    is one); with one other word, the ``min_words`` are around it. Looking at
+    w = min(``min_words``, 2 ``penalty``) words, with a gap at the first other word or
+    none, hits them all.
+    """
+    w = max(1, min(min_words, 2 * penalty))
+    gapped = [f"{'1' * n}0{'1' * (w - n)}" for n in range(max(1, penalty), w)]
+    return ("1" * w, *gapped)
+
+
+MASKS = covering_masks(min_words=10, penalty=4)
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[:48] = PUNCTUATION[58:65] = PUNCTUATION[91:97] = PUNCTUATION[123:128] = True
 
 FILTER_BITS = 24  # the filter of benchmark seeds has 2 ** 24 bits, whatever the table's size
+FILTER_SHIFTS = (64 - FILTER_BITS, 64 - 2 * FILTER_BITS)  # of the parts of a hash that name its bits
 
 
 def _seeds(masks: tuple[str, ...]):
-    picks = [np.flatnonzero(np.frombuffer(m.encode(), np.uint8) == 49) for m in masks]
+    """Hashes of the words under each mask, at all places of an array of words."""
+    runs = [[m.span() for m in re.finditer("1+", mask)] for mask in masks]
+    longest = max(b - a for mask in runs for a, b in mask)
 
     def hashes(words: np.ndarray) -> Iterator[np.ndarray]:
-        for i, (mask, picked) in enumerate(zip(masks, picks, strict=True)):
+        chains = [np.zeros(len(words) + 1, _U)]  # by length, of the words from a place on
+        for k in range(min(longest, len(words))):
+            n = len(words) - k
+            chains.append(mix(chains[-1][:n] * _U(3) + words[k : k + n]))
+        for i, (mask, spans) in enumerate(zip(masks, runs, strict=True)):
             n = max(0, len(words) - len(mask) + 1)
             value = np.full(n, i + 1, _U)
-            for p in picked:
-                value = mix(value * _U(3) + words[p : p + n])
+            if n:
+                for a, b in spans:
+                    value = mix(value * _U(3) + chains[b - a][a : a + n])
             yield value
 
     return hashes
 
 
+def _whole(masks: tuple[str, ...]) -> list[bool]:
+    """Whether a mask is for whole items of its length only, as it looks at fewer words than others."""
+    weights = [m.count("1") for m in masks]
+    return [n < max(weights) for n in weights]
+
+
 def _rows(names: tuple[str, ...], masks: tuple[str, ...], bits: np.ndarray | None):
-    """(id, words, hashes, places) of rows, of seeds in the filter only if there is one."""
-    hashes = _seeds(masks)
+    """(id, words, hashes, places) of rows with words; if there is a filter, of the seeds in it and rows with some."""
+    hashes, whole = _seeds(masks), _whole(masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,28 +85,37 @@ def _rows(names: tuple[str, ...], masks: tuple[str, ...], bits: np.ndarray | Non
             for a, b in blocks(edges):
                 w = find_words(lowered(data), edges[a : b + 1], PUNCTUATION)
                 all_words = w.hashes()
-                ids, words, found, places = [], [], [], []
-                for r in range(b - a):
-                    own = all_words[w.first[r] : w.first[r + 1]]
-                    hs, ps = [], []
-                    for h in hashes(own):
-                        at = np.arange(len(h))
-                        if bits is not None:
-                            slot = (h >> _U(64 - FILTER_BITS)).astype(np.int64)
-                            at = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                        hs.append(h[at])
-                        ps.append(at)
-                    if sum(map(len, hs)) or bits is None:
-                        ids.append(a + r)
-                        words.append(own.view(np.int64))
-                        found.append(np.concatenate(hs).view(np.int64))
-                        places.append(np.concatenate(ps).astype(np.int32))
+                row_of = np.repeat(np.arange(b - a), w.counts)
+                found, places, rows = [], [], []
+                for mask, short, h in zip(masks, whole, hashes(all_words), strict=True):
+                    at = np.arange(len(h))
+                    if bits is not None:
+                        for shift in FILTER_SHIFTS:
+                            slot = (h[at] >> _U(shift)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+                            at = at[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    row = row_of[at]
+                    inside = at + len(mask) <= w.first[row + 1]
+                    if short and bits is None:
+                        inside &= w.counts[row] == len(mask)
+                    at, row = at[inside], row[inside]
+                    if short and bits is not None:
+                        # All copies of a whole item are alike, the first one counts.
+                        _, first = np.unique(np.stack([row.astype(_U), h[at]]), axis=1, return_index=True)
+                        at, row = at[first], row[first]
+                    found.append(h[at])
+                    places.append(at - w.first[row])
+                    rows.append(row)
+                row = np.concatenate(rows)
+                order = np.argsort(row, kind="stable")
+                ids, starts = np.unique(row[order], return_index=True)
+                edge = np.append(starts, len(row)).astype(np.int32)
+                listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(edge), pa.array(values[order], kind))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(ids, pa.int64())),
-                        pa.array(words, pa.list_(pa.int64())),
-                        pa.array(found, pa.list_(pa.int64())),
-                        pa.array(places, pa.list_(pa.int32())),
+                        batch.column(0).take(pa.array(a + ids, pa.int64())),
+                        pa.array([all_words[w.first[r] : w.first[r + 1]].view(np.int64) for r in ids], pa.list_(pa.int64())),
+                        listed(np.concatenate(found).view(np.int64), pa.int64()),
+                        listed(np.concatenate(places).astype(np.int32), pa.int32()),
                     ],
                     names=list(names),
                 )
@@ -88,9 +128,11 @@ def _best_stretch(penalty: int) -> Column:
     zero = F.struct(*[F.lit(0).alias(c) for c in ("score", "start", "same", "at", "best", "b_start", "b_end", "b_same")])
 
     def step(acc: Column, hit: Column) -> Column:
-        score = F.greatest(acc["score"] + F.when(hit, 1).otherwise(-penalty), F.lit(0))
-        start = F.when(score == 0, acc["at"] + 1).otherwise(acc["start"])
-        same = F.when(score == 0, 0).otherwise(acc["same"] + hit.cast("int"))
+        reached = acc["score"] + F.when(hit, 1).otherwise(-penalty)
+        score = F.greatest(reached, F.lit(0))
+        # A beginning that scores 0 stays, so that a tie takes the smallest place.
+        start = F.when(reached < 0, acc["at"] + 1).otherwise(acc["start"])
+        same = F.when(reached < 0, 0).otherwise(acc["same"] + hit.cast("int"))
         better = score > acc["best"]
         return F.struct(
             score.alias("score"),
@@ -110,17 +152,19 @@ def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
     min_words: int = 10,
-    masks: tuple[str, ...] = MASKS,
+    masks: tuple[str, ...] | None = None,
     penalty: int = 4,
 ) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_span, n_equal): the best overlap of every contaminated pair.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased;
     places count from 0. Ties take the smallest place. NULL and empty texts and
-    NULL ids have no overlap, neither have items too short for the shortest
-    mask. Repeated rows of a doc_id count as one document. Other columns are ignored.
+    NULL ids have no overlap. Without ``masks``, those that miss no overlap are
+    taken; masks that look at fewer words than others are for whole items of
+    their length. Repeated rows of a doc_id count as one document. Other columns are ignored.
     """
     spark = docs.sparkSession
+    masks = masks or covering_masks(min_words, penalty)
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     names = ("item_id", "item_words", "hashes", "places")
     schema = f"item_id {item_kind}, item_words array<long>, hashes array<long>, places array<int>"
@@ -130,7 +174,8 @@ def overlaps(
     seeds = items.select("item_id", F.explode(F.arrays_zip("hashes", "places")).alias("s"))
     seeds = seeds.select("item_id", F.col("s.hashes").alias("hash"), F.col("s.places").alias("item_at")).distinct()
     # The filter is 2 MB whatever the benchmark's size; a full one only passes more seeds on to the join.
-    slots = seeds.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).alias("slot")).distinct()
+    slot = [F.shiftrightunsigned("hash", n).bitwiseAND((1 << FILTER_BITS) - 1) for n in FILTER_SHIFTS]
+    slots = seeds.select(F.explode(F.array(*slot)).alias("slot")).distinct()
     octets = slots.groupBy(F.shiftright("slot", 3).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1, cast(slot & 7 as int))")).alias("v")
     )

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -70,3 +71,48 @@ def test_empty_null_and_repeated(spark):
     assert [tuple(r) for r in rows] == [(1, 7, 0, 0, 20, 20)]
     assert decontaminate.overlaps(docs.limit(0), items).count() == 0
     assert decontaminate.overlaps(docs, items.limit(0)).count() == 0
+
+
+def test_masks_hit_every_accepted_substitution():
+    """All places of up to five changes: an accepted overlap has a diagonal hit."""
+    picked = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS if m.count("1") == 8]
+    accepted = 0
+    for n in range(10, 21):
+        for changes in range(5):
+            for places in itertools.combinations(range(n), changes):
+                copy = [i not in places for i in range(n)]
+                if best(copy, [True] * n, 0) >= 10:
+                    accepted += 1
+                    assert any(all(copy[p + i] for i in m) for m in picked for p in range(n - m[-1])), (n, places)
+    assert accepted > 1000
+
+
+def test_overlaps_equal_brute_force_over_all_diagonals(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(200)]
+    pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, pick(n)) for i, n in enumerate([*range(8, 14), 13, 16, 16, 20, 30])]
+    changed = [("w0", "w6"), ("w5",), ("w4", "w11"), ()]
+    docs = []
+    for d in range(160):
+        part = list(items[d % len(items)][1])
+        for place in changed[d % 4] if d < 100 else rng.sample(range(30), 4):
+            at = int(str(place).lstrip("w"))
+            if at < len(part):
+                part[at] = "changed"
+        docs.append((d, pick(rng.choice([0, 7, 30])) + part + pick(rng.choice([0, 8])) + part[:3]))
+    expected = set()
+    for d, w in docs:
+        for i, v in items:
+            if any(best(w, v, g) >= min(10, len(v)) for g in range(1 - len(v), len(w))):
+                expected.add((d, i))
+    left = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    right = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    rows = decontaminate.overlaps(left, right).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == expected and len(rows) == len(expected)
+    by_doc, by_item = dict(docs), dict(items)
+    for r in rows:
+        if len(by_item[r.item_id]) < 9:  # a whole item, at its first place
+            n, w = len(by_item[r.item_id]), by_doc[r.doc_id]
+            assert r.doc_word == next(p for p in range(len(w)) if w[p : p + n] == by_item[r.item_id])
+            assert (r.item_word, r.n_span, r.n_equal) == (0, n, n)
