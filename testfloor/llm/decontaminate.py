@@ -7,7 +7,7 @@ hash; each gives a diagonal (place in the document minus place in the item).
 Along a diagonal the best-scoring stretch (+1 for an equal word, -4 for another)
 is the overlap: at least 4 of 5 of its words are equal. An overlap of
 ``min_words`` equal words (or of the whole item, if shorter) is a contamination.
-The masks hit every such overlap of items as long as the masks (see ``covering_masks``).
+The masks hit every such overlap (see ``covering_masks``), so none is missed.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ def covering_masks(min_words: int, penalty: int) -> tuple[str, ...]:
     words before its first other word and twice as many before its second (if there
     is one); with one other word, the ``min_words`` are around it. Looking at
     w = min(``min_words``, 2 ``penalty``) words, with a gap at the first other word or
-    none, hits them all.
+    none, hits them all. Items shorter than w must be there as a whole, which
+    masks of their lengths find.
     """
     w = max(1, min(min_words, 2 * penalty))
     gapped = [f"{'1' * n}0{'1' * (w - n)}" for n in range(max(1, penalty), w)]
-    return ("1" * w, *gapped)
+    return (*("1" * n for n in range(1, w + 1)), *gapped)
 
 
 MASKS = covering_masks(min_words=10, penalty=4)

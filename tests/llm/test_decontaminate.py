@@ -91,7 +91,7 @@ def test_overlaps_equal_brute_force_over_all_diagonals(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(200)]
     pick = lambda n: [rng.choice(vocabulary) for _ in range(n)]
-    items = [(i, pick(n)) for i, n in enumerate([*range(8, 14), 13, 16, 16, 20, 30])]
+    items = [(i, pick(n)) for i, n in enumerate([*range(1, 14), 13, 16, 16, 20, 30])]
     changed = [("w0", "w6"), ("w5",), ("w4", "w11"), ()]
     docs = []
     for d in range(160):
@@ -116,3 +116,10 @@ def test_overlaps_equal_brute_force_over_all_diagonals(spark):
             n, w = len(by_item[r.item_id]), by_doc[r.doc_id]
             assert r.doc_word == next(p for p in range(len(w)) if w[p : p + n] == by_item[r.item_id])
             assert (r.item_word, r.n_span, r.n_equal) == (0, n, n)
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x one two three y one two three"), (3, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "c"), (3, "h a")], "item_id long, text string")
+    rows = decontaminate.overlaps(docs, items).collect()
+    assert sorted(map(tuple, rows)) == [(1, 2, 2, 0, 1, 1), (2, 1, 1, 0, 3, 3)]
