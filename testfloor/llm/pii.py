@@ -3,13 +3,15 @@
 Identifiers are first looked for in the text as it stands. Then a transducer
 rewrites the text (look-alike characters, spelled digits, ``(at)`` and ``dot``
 disguises) and keeps for every character written the source characters it came
-from. Identifiers of the rewritten text whose source differs from it and which
-touch no identifier found before are added, with their source spans.
+from. Identifiers of the rewritten text whose source differs from it are added,
+with their source spans, unless one of their kind found before holds them. So an
+added one may overlap what the plain text shows of it.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -174,25 +176,28 @@ def _can_change(text: str) -> bool:
     return bool(_BARE_HINT.search(text) or _BRACKET.search(text) or _DIGIT_RUN.search(text))
 
 
-def disguised(text: str, known: list[Span]) -> list[Span]:
-    """Identifiers that only the rewritten text shows, as source spans, by start, then kind."""
+def disguised(text: str, known: list[Span], touching: bool = False) -> list[Span]:
+    """Identifiers that only the rewritten text shows, as source spans, by start, then kind.
+
+    Those that touch no known span; with ``touching``, all that no known span of their kind holds.
+    """
     if not _can_change(text):
         return []
     plain, starts, ends = normalise(text)
     if plain == text:
         return []
-    taken = sorted((a, b) for _, a, b in known)
-    reach, top = [], 0
-    for a, b in taken:
-        top = max(top, b)
-        reach.append(top)
+    taken, reach = {}, {}
+    for kind in KINDS:
+        taken[kind] = sorted((a, b) for k, a, b in known if k == kind or not touching)
+        reach[kind] = list(itertools.accumulate((b for _, b in taken[kind]), max))
     added = []
     for kind, a, b in find(plain):
         i, j = starts[a], ends[b - 1]
         if text[i:j] == plain[a:b]:
             continue
-        before = bisect.bisect_left(taken, (j, -1))
-        if before and reach[before - 1] > i:
+        # Known spans that begin before (touching: not after the start), and how far they go.
+        before = bisect.bisect_left(taken[kind], (i + 1, -1) if touching else (j, -1))
+        if before and (reach[kind][before - 1] >= j if touching else reach[kind][before - 1] > i):
             continue
         added.append((kind, i, j))
     return sorted(added, key=lambda s: (s[1], KINDS.index(s[0])))
@@ -202,7 +207,7 @@ def detect(docs: DataFrame) -> DataFrame:
     """``docs`` with ``base`` and ``added``: spans (kind, start, stop) in code points, stop exclusive.
 
     ``base`` has what the text shows as it stands, ``added`` what only the rewritten
-    text shows. NULL and empty texts have none. Columns of those names are replaced;
+    text shows, also where it overlaps a base span. NULL and empty texts have none. Columns of those names are replaced;
     other columns and repeated rows stay.
     """
     kept = [c for c in docs.columns if c.lower() not in ("base", "added")]
@@ -217,7 +222,7 @@ def detect(docs: DataFrame) -> DataFrame:
                 text = value.as_py() or ""
                 known = find(text)
                 base.append([dict(zip(("kind", "start", "stop"), s)) for s in known])
-                added.append([dict(zip(("kind", "start", "stop"), s)) for s in disguised(text, known)])
+                added.append([dict(zip(("kind", "start", "stop"), s)) for s in disguised(text, known, touching=True)])
             columns = [*batch.columns, pa.array(base, kind), pa.array(added, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "base", "added"])
 
@@ -249,7 +254,7 @@ def redact(docs: DataFrame) -> DataFrame:
             for value in batch.column(at):
                 text = value.as_py()
                 known = find(text) if text else []
-                texts.append(mask(text, known + disguised(text, known)) if text else text)
+                texts.append(mask(text, known + disguised(text, known, touching=True)) if text else text)
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -82,3 +82,34 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert sorted(len(r.base) + len(r.added) for r in out) == [0, 0, 0, 1]
     assert sorted(map(str, (r.text for r in pii.redact(docs).collect()))) == ["", "", "<email>", "None"]
     assert pii.detect(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_disguised_parts_of_shown_identifiers(spark):
+    """A fragment that the plain text shows does not keep the whole from being found and masked."""
+    cases = {
+        "to alice.smіth@x.com now": ("email:12:20", "email:3:20", "to <email> now"),
+        "a\u200bb@x.org": ("email:2:9", "email:0:9", "<email>"),
+        "ask john (dot) smith@example.com": ("email:15:32", "email:4:32", "ask <email>"),
+        "john@example.co (dot) uk!": ("email:0:15", "email:0:24", "<email>!"),
+        "jаne@mail.com, b@c.de": ("email:2:13,email:15:21", "email:0:13", "<email>, <email>"),
+        "jоhn@1.2.3.4": ("email:2:12,ip:5:12", "email:0:12", "<email>"),
+        "plain@mail.com (at) x": ("email:0:14", "", "<email> (at) x"),
+    }
+    docs = spark.createDataFrame([(t,) for t in cases], "text string")
+    listed = lambda spans: ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in spans)
+    found = {r.text: (listed(r.base), listed(r.added)) for r in pii.detect(docs).collect()}
+    assert found == {t: c[:2] for t, c in cases.items()}
+    assert sorted(r.text for r in pii.redact(docs).collect()) == sorted(c[2] for c in cases.values())
+
+
+def test_touching_adds_what_no_span_of_its_kind_holds():
+    rng = random.Random(2)
+    parts = ["a", "b1", "а", "@", ".", " (at) ", " (dot) ", " ", "x.com", "１", "1.2.3.4", "+1 555 012 3456", "one two three four ", "\u200b"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        known, (plain, starts, ends) = pii.find(text), pii.normalise(text)
+        whole = [(k, starts[a], ends[b - 1]) for k, a, b in pii.find(plain) if text[starts[a] : ends[b - 1]] != plain[a:b]]
+        free = [s for s in whole if not any(k == s[0] and a <= s[1] and s[2] <= b for k, a, b in known)]
+        assert sorted(pii.disguised(text, known, touching=True)) == sorted(free), text
+        apart = [s for s in whole if not any(a < s[2] and s[1] < b for _, a, b in known)]
+        assert sorted(pii.disguised(text, known)) == sorted(apart), text
