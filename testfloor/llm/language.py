@@ -133,11 +133,11 @@ def train(labelled: DataFrame, per_language: int = 500) -> Model | None:
     """A model from the rows of ``labelled`` (text, lang); None if none has a text and a language.
 
     Rows without text, letters or language are not used. Repeated rows count repeatedly in the frequencies and once
-    in the sample, so a large group of copies cannot fill it.
+    in the sample and in the shares it is drawn by, so a large group of copies neither fills it nor starves it.
     """
     rows = labelled.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count()
-    # Languages with fewer rows are taken whole, others in proportion.
+    counts = rows.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").count()
+    # Languages with fewer texts are taken whole, others in proportion.
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000
     some = rows.join(counts, "lang").filter(drawn).select("text", "lang").distinct().orderBy(F.xxhash64("text"), "lang").limit(MAX_SAMPLE)

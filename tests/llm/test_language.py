@@ -31,3 +31,14 @@ def test_fold_follows_crc32(spark):
 
     rows = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", fold().alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 4 for r in rows)
+
+
+def test_copies_do_not_starve_their_language(spark, monkeypatch):
+    """80 distinct texts and 20,000 copies of another: all are taken, as they are fewer than 100."""
+    monkeypatch.setattr(language, "fit", lambda sample, idf: sample)
+    few = spark.range(80).selectExpr("concat('ein text ', conv(id, 10, 36), 'x') as text", "'de' as lang")
+    copies = spark.range(20_000).selectExpr("'kopie' as text", "'de' as lang")
+    others = spark.range(2_000).selectExpr("concat('some text ', conv(id, 10, 36), 'x') as text", "'en' as lang")
+    sample = language.train(few.union(copies).union(others), per_language=100)
+    assert sum(lang == "de" for _, lang in sample) == 81 and len(set(sample)) == len(sample)
+    assert 60 <= sum(lang == "en" for _, lang in sample) <= 140
