@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, language, license_scan, neardup, packing, pii, quality_rules, substrings, token_files, url_rules
+from testfloor.llm import decontaminate, hard_negatives, language, license_scan, neardup, packing, pii, quality_rules, substrings, token_files, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -303,3 +303,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(docs, tokenizer_file(), SEPARATOR_ID, id_bytes=ID_BYTES)
     found = token_files.counts(manifest.select("file", "size"), SEPARATOR_ID, id_bytes=ID_BYTES)
     return manifest.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+_OP11_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, r.vec_id as row_id, a.label = r.label as same, list_inner_product(a.q, r.q)::bigint as score
+  from v a join v r on a.vec_id % 50 = 0 and a.vec_id <> r.vec_id
+), positives as (
+  select anchor_id, row_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, row_id) <= 5
+), fit as (
+  select p.anchor_id, positive_id, row_id as negative_id, positive_score, score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by score desc, row_id)::int as rank
+  from positives p join scored s on p.anchor_id = s.anchor_id and not s.same
+    and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from fit where rank <= 3
+"""
+
+
+@query("op11_hard_negatives", _OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low_percent=50, high_percent=95)
