@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, hard_negatives, language, license_scan, neardup, packing, pii, quality_rules, substrings, token_files, url_rules
+from testfloor.llm import decontaminate, hard_negatives, language, license_scan, neardup, packing, pii, quality_rules, ranked_search, substrings, token_files, url_rules
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -333,3 +333,39 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low_percent=50, high_percent=95)
+
+
+_OP12_SQL = """
+with t as (
+  select doc_id, row_number() over () as d, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+  from documents
+), held as (
+  select doc_id, d, len(w)::bigint as n, w from t where len(w) > 0
+), totals as (
+  select count(*)::bigint as docs, sum(n)::bigint as length from held
+), tf as (
+  select d, doc_id, n, term, count(*)::bigint as tf from (select d, doc_id, n, unnest(w) as term from held) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w
+  from (select term, count(*)::bigint as df from tf group by term), totals
+), impacts as (
+  select d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))) as impact
+  from tf join weights using (term), totals
+), wanted as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark
+), scored as (
+  select item_id, d, doc_id, sum(impact)::bigint as score from wanted join impacts using (term) group by item_id, d, doc_id
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 50
+"""
+
+
+@query("op12_ranked_search", _OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
