@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from testfloor.llm import decontaminate, hard_negatives, language, license_scan, neardup, packing, pii, quality_rules, ranked_search, substrings, token_files, url_rules
+from testfloor.llm import decontaminate, hard_negatives, language, license_scan, neardup, packing, pii, quality_rules, ranked_search, substrings, token_files, url_rules, warc
 from testfloor.llm.registry import query
 from testfloor.session import materialize
 
@@ -369,3 +369,33 @@ from scored where score > 0 qualify rank <= 50
 @query("op12_ranked_search", _OP12_SQL)
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+_OP13_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+  from pages
+), g as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) else page_id end as first
+  from p
+)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from g
+"""
+
+
+@query("op13_warc_transactions", _OP13_SQL)
+def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), revisit_bytes=1000)
+    # Shuffled without the bytes themselves, of which only size and digest are asked for.
+    assembled = materialize(warc.captures(warc.read(archives, payloads=False)).drop("payload"), "captures")
+    page = lambda records: F.col(records)[0]["fields"]["page-id"].cast("long")
+    rows = warc.resolve(assembled)
+    return rows.select(
+        page("metadata").alias("page_id"),
+        F.coalesce("payload_bytes", F.col("first.payload_bytes")).alias("payload_bytes"),
+        F.coalesce(F.col("first.payload_digest"), "payload_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        page("first.metadata").alias("refers_to"),
+    )
