@@ -388,8 +388,9 @@ from g
 @query("op13_warc_transactions", _OP13_SQL)
 def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages"), revisit_bytes=1000)
-    # Shuffled without the bytes themselves, of which only size and digest are asked for.
-    assembled = materialize(warc.captures(warc.read(archives, payloads=False)).drop("payload"), "captures")
+    # Kept without the bytes themselves, of which only size and digest are asked for.
+    records = materialize(warc.read(archives, payloads=False).drop("payload"), "records")
+    assembled = materialize(warc.captures(records), "captures")
     page = lambda records: F.col(records)[0]["fields"]["page-id"].cast("long")
     rows = warc.resolve(assembled)
     return rows.select(

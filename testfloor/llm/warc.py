@@ -28,6 +28,7 @@ from testfloor.session import materialize, scratch_path, write_bytes
 REVISIT_BYTES = 1000  # equal payloads of fewer bytes are written again
 FILE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
+MOST_TASKS = 20_000
 
 # Names and values fixed by the format.
 VERSION = "WARC/1.1"
@@ -273,7 +274,8 @@ def read(files: DataFrame, payloads: bool = True, strict: bool = True) -> DataFr
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     listed = files.select("file").filter("file is not null").distinct()
-    return listed.repartition("file").mapInArrow(run, RECORD)
+    # A stated number, as a list of names looks too small to Spark to be worth many tasks.
+    return listed.repartition(min(max(1, listed.count()), MOST_TASKS), "file").mapInArrow(run, RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -283,6 +285,7 @@ def captures(records: DataFrame) -> DataFrame:
     record stay; requests and metadata are arrays of structs ordered by record id, empty where there are none. Records
     of other types, and requests and metadata that lead to no capture, are left out; a main record without an id stands
     alone. Main records that repeat an id (an archive read twice) are rows of their own, other repeats count once.
+    ``records`` is read several times, so it should be a table and not the reading of archives itself.
     """
     linked = ("record_id", "target_uri", "date", "fields", "payload_digest", "payload_bytes")
     main = records.filter(F.col("type").isin(*PRINCIPAL))
@@ -309,4 +312,7 @@ def resolve(assembled: DataFrame) -> DataFrame:
     target = assembled.filter("type = 'response'").select(
         F.col("record_id").alias("refers_to"), F.struct("record_id", "payload_bytes", "payload_digest", "metadata").alias("first")
     )
-    return assembled.join(target.dropDuplicates(["refers_to"]), "refers_to", "left").select(*assembled.columns, "first")
+    # Most captures refer to nothing: joined as well, they would all be rows of one key.
+    referring = assembled.filter("refers_to is not null").join(target.dropDuplicates(["refers_to"]), "refers_to", "left")
+    others = assembled.filter("refers_to is null").withColumn("first", F.lit(None).cast(target.schema["first"].dataType))
+    return referring.select(*assembled.columns, "first").union(others)
