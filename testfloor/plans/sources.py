@@ -63,6 +63,20 @@ def _(spark, sf):
 _FLAG = "case l_returnflag when 'R' then 128 when 'A' then 0 else case l_suppkey % 3 when 0 then 16 when 1 then 64 else 1 end end"
 
 
+@query("a02_small_blocks", FILES_SQL + """ select name, sum(n)::bigint as records, sum(n)::bigint-1 as last_seq, true as contiguous, any_value(f.block % 11=10) as cut_short,
+ sum(case kind when 'PIR' then 6 when 'MRR' then 8 else 0 end * n)::bigint as known_bytes from files f join kinds using (block) group by 1""")
+def _(spark, sf):
+    """Every file framed in blocks of 8 KB, whose maps are composed in groups of 4."""
+    good, size = F.col("kind") != "FRAME_ERROR", F.col("rec_len") + 4
+    framed = stdf.frames(stdf_files.files(spark, sf), block_bytes=8192, group=4)
+    per_file = framed.groupBy("source_id").agg(
+        F.max("path").alias("path"), F.count_if(good).alias("records"), F.max(F.when(good, F.col("record_seq"))).alias("last_seq"),
+        (F.sum(F.when(good, size)) == F.max(F.when(good, F.col("offset") + size))).alias("contiguous"), F.bool_or(~good).alias("cut_short"),
+        F.sum(F.when(F.col("kind").isin("PIR", "MRR"), size)).alias("known_bytes"),
+    )
+    return per_file.select(_name(), "records", "last_seq", "contiguous", "cut_short", "known_bytes")
+
+
 @query("a03_parametric_records", FILES_SQL + f""" select l_linenumber as test_num, l_orderkey % 4 as site_num, {_FLAG} as test_flg,
  round(l_extendedprice::float::double,2) as result, 'T'||l_linenumber as test_txt, case when l_linenumber % 2=1 then 5000e0 end as lo_limit,
  case when l_linenumber % 2=1 then 95000e0 end as hi_limit, case when l_linenumber % 2=1 then 'mA' end as units from l where kind='PTR'""")
@@ -188,57 +202,76 @@ def _(spark, sf):
     return eav.mixed_sources(named, ["lot_id", "wafer_id"])
 
 
-def _convert_tests(files: DataFrame) -> DataFrame:
-    """Parametric records of files; a file that is cut short is an error."""
-    framed = stdf.stored(stdf.frames(files))
-    tests = stdf.decode(framed, "PTR").select("source_id", "record_seq", "test_num", "result")
-    errors = framed.filter("error is not null").select("source_id", F.col("error").alias("file_error"))
-    return tests.unionByName(errors, allowMissingColumns=True)
+def _measurements(files: DataFrame) -> eav.Converted:
+    """Measurement rows of files, and the sources that are not whole."""
+    return eav.convert(stdf.read_events(files))
 
 
-def _grown(spark, sf) -> tuple[str, str, str]:
-    """A dataset built in two ingest runs, and a snapshot pinned between them."""
-    root, folder = scratch_path(spark, "dataset"), stdf_files.folder(spark, sf)
-    files = stdf.read_files(spark, [folder]).filter(~F.col("path").contains("/copy/"))
-    first = files.filter(stdf_files.block_of() % 2 == 0)
-    dataset.ingest(spark, root, first, _convert_tests)
-    pinned = dataset.pin(spark, root)
-    return root, pinned, dataset.ingest(spark, root, files, _convert_tests)
+_DATASETS: dict[tuple[str, str], tuple[str, str]] = {}
 
 
-_SOURCES_SQL = FILES_SQL + ", s as (select b.block, coalesce(k.n,0) as rows from blocks b left join kinds k on b.block=k.block and k.kind='PTR' where b.block % 11<>10)"
+def _grown(spark, sf) -> tuple[str, str]:
+    """A dataset of all files built in two ingest runs, and a snapshot pinned between them; once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DATASETS:
+        root, files = scratch_path(spark, "dataset"), stdf.discover(spark, [stdf_files.folder(spark, sf)])
+        dataset.ingest(spark, root, files.filter(stdf_files.block_of() % 2 == 0), _measurements)
+        pinned = dataset.pin(spark, root)
+        dataset.ingest(spark, root, files, _measurements)
+        _DATASETS[key] = root, pinned
+    return _DATASETS[key]
 
 
-@query("a10_incremental_ingest", _SOURCES_SQL + " select block, rows, block % 2=0 as first_run from s")
+# Rows of a whole file: a multi-result record has one of its own and one per result.
+_SOURCES_SQL = FILES_SQL + """, s as (select f.block, f.name, coalesce(k.n,0) as rows from files f
+ left join (select block, sum(case when kind='MPR' then 3*n else n end)::bigint as n from kinds where kind in ('PTR','MPR','FTR') group by 1) k on f.block=k.block
+ where f.block % 11<>10)"""
+
+
+@query("a10_incremental_ingest", _SOURCES_SQL + " select name, rows, block % 2=0 as first_run from s")
 def _(spark, sf):
-    root, _, _ = _grown(spark, sf)
+    root, _ = _grown(spark, sf)
     now, before = dataset.sources(spark, root), dataset.sources(spark, root, 1).select("source_id", "generation")
     joined = now.join(before.withColumn("first_run", F.lit(True)), ["source_id", "generation"], "left")
-    return joined.select(stdf_files.block_of().alias("block"), "rows", F.coalesce("first_run", F.lit(False)).alias("first_run"))
+    return joined.select(_name(), "rows", F.coalesce("first_run", F.lit(False)).alias("first_run"))
 
 
-@query("a10_streaming_ingest", _SOURCES_SQL + " select block, rows from s")
+@query("a10_failed_sources", FILES_SQL + """ select name, 'FRAME_ERROR' as kind, 'unexpected end of file in record body' as error, sum(n)::bigint as record_seq
+ from files f join kinds using (block) where f.block % 11=10 group by 1""")
+def _(spark, sf):
+    """Logs that are cut off: both runs met those of the first, which stay without a version."""
+    root, _ = _grown(spark, sf)
+    return dataset.errors(spark, root, 2).select(_name(), "kind", "error", "record_seq")
+
+
+@query("a10_streaming_ingest", _SOURCES_SQL + " select name, rows from s")
 def _(spark, sf):
     root = scratch_path(spark, "dataset")
-    running = streaming.watch_files(spark, f"{stdf_files.folder(spark, sf)}/S*", root, scratch_path(spark, "checkpoint"), _convert_tests)
+    running = streaming.watch_files(spark, stdf_files.folder(spark, sf), root, scratch_path(spark, "checkpoint"), _measurements)
     running.awaitTermination()
-    return dataset.sources(spark, root).select(stdf_files.block_of().alias("block"), "rows")
+    return dataset.sources(spark, root).select(_name(), "rows")
 
 
 @query("a11_verification", _SOURCES_SQL + " select 0 as findings, count(*) as sources, sum(rows)::bigint as rows from s")
 def _(spark, sf):
-    root, _, _ = _grown(spark, sf)
+    root, _ = _grown(spark, sf)
     findings = dataset.verify(spark, root).agg(F.count("*")).scalar()
     listed = dataset.sources(spark, root).agg(F.count("*").alias("sources"), F.sum("rows").alias("rows"))
     return listed.withColumn("findings", findings)
 
 
-@query("a12_pinned_read", FILES_SQL + """ select l_linenumber as test_num, count(*) as n, round(sum(l_extendedprice::float::double),0) as total from l
- where kind='PTR' and block % 2=0 and block % 11<>10 group by 1""")
+@query("a12_pinned_read", FILES_SQL + """, r as (select l.*, name, unnest(case when kind='MPR' then [0,1,2] else [0] end) as i from files f join l using (block) where block % 2=0 and block % 11<>10)
+ select 'LOT'||block % 10 as lot_id, kind as test_type, l_linenumber as test_num, count(*) as n,
+ round(sum(case when kind='PTR' then l_extendedprice::float::double when i>0 then (l_extendedprice+i-1)::float::double end),0) as total,
+ count(distinct name||l_orderkey) as parts, count(*) filter (kind='PTR' and l_linenumber % 2=1) as limited from r group by 1,2,3""")
 def _(spark, sf):
-    root, pinned, _ = _grown(spark, sf)
-    rows = dataset.read_pinned(spark, root, pinned)
-    return rows.groupBy("test_num").agg(F.count("*").alias("n"), F.round(F.sum(F.col("result").cast("double")), 0).alias("total"))
+    root, pinned = _grown(spark, sf)
+    rows = eav.conform(dataset.read_pinned(spark, root, pinned).select(*[f.name for f in eav.EAV], "source_id"))
+    part = F.struct("source_id", "part_sequence")
+    return rows.groupBy("lot_id", "test_type", "test_num").agg(
+        F.count("*").alias("n"), F.round(F.sum(F.col("result").cast("double")), 0).alias("total"),
+        F.count_distinct(part).alias("parts"), F.count("lo_limit").alias("limited"),
+    )
 
 
 _DIGEST_SQL = cte("attempts") + """, d as (select lot, attempt, sha256(concat_ws(chr(31), '='||attempt, coalesce('='||wafer,'~'), '='||hard_bin, coalesce('='||x,'~'))) as digest from attempts)"""
@@ -379,8 +412,7 @@ select lot_id, wafer_id, test_type, case when test_type='MPR' then case when i=0
  round(sum(case when test_type='PTR' then v::float::double when i>0 then (v+i-1)::float::double end),0) as total,
  count(known) as identified, count(*) filter (o_orderkey % 9=0) as default_parts from r group by all""")
 def _(spark, sf):
-    files = stdf.read_files(spark, [stdf_files.folder(spark, sf)])
-    rows = eav.convert(stdf.unique_content(stdf.read_events(files)))
+    rows = eav.convert(stdf.read_events(stdf_files.files(spark, sf), unique=True)).rows
     return rows.groupBy("lot_id", "wafer_id", "test_type", "test_txt").agg(
         F.count("*").alias("rows"), F.sum("part_sequence").alias("sequences"), F.count("result").alias("results"),
         F.round(F.sum(F.col("result").cast("double")), 0).alias("total"), F.count("part_merge_key").alias("identified"),
@@ -411,9 +443,8 @@ def _tables(spark, sf) -> tables.Tables:
     """Attempts and tests of all files, stored once per application as an ingest job would."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILT:
-        files = stdf.read_files(spark, [stdf_files.folder(spark, sf)])
-        built = tables.build(stdf.unique_content(stdf.read_events(files)))
-        _BUILT[key] = tables.Tables(materialize(built.attempts, "attempts"), materialize(built.tests, "tests"))
+        built = tables.build(stdf.read_events(stdf_files.files(spark, sf), unique=True))
+        _BUILT[key] = tables.Tables(*[materialize(t, n) for t, n in zip(built, tables.Tables._fields)])
     return _BUILT[key]
 
 
@@ -429,6 +460,15 @@ def _(spark, sf):
     return yields.lot_comparison(yields.requested(_tables(spark, sf).attempts))
 
 
+@query("a02_cut_off_sources", FILES_SQL + """ select min(name) as name, block, 'FRAME_ERROR' as kind, 'unexpected end of file in record body' as error, any_value(orders) as attempts
+ from files join blocks using (block) where block % 11=10 group by block""")
+def _(spark, sf):
+    """Logs that are not whole in the tables of attempts and tests, with the attempts that were read before the end."""
+    built = _tables(spark, sf)
+    counts = built.attempts.groupBy("source_id").agg(F.count("*").alias("attempts"))
+    return built.errors.join(counts, "source_id", "left").select(_name(), stdf_files.block_of().alias("block"), "kind", "error", "attempts")
+
+
 @query("e05_latest_from_files", FILES_SQL + """,
  d as (select o_orderkey, block, case when o_custkey % 17<>0 then block % 10||'|'||block % 25||'|'||o_custkey % 50||'|'||o_custkey // 50 end as ecid from o),
  f as (select case when ecid is null then 'unresolved' when block<max(block) over (partition by ecid) then 'earlier'

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from testfloor.plans import adapters
 from testfloor.session import scratch_path, write_bytes
-from testfloor.sources import stdf
+from testfloor.sources import framing, stdf
 
 BLOCK = 256
 
@@ -152,6 +152,17 @@ def folder(spark: SparkSession, sf_dir: str) -> str:
     return _FOLDERS[key]
 
 
+_PREPARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with their hashes, read and inflated once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PREPARED:
+        _PREPARED[key] = framing.prepare(stdf.discover(spark, [folder(spark, sf_dir)]))
+    return _PREPARED[key]
+
+
 def block_of(path: str = "path") -> Column:
     return F.regexp_extract(path, r"run-(\d+)\.", 1).cast("bigint")
 
@@ -163,5 +174,5 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framed records of all files, copies included; written out once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _RECORDS:
-        _RECORDS[key] = stdf.stored(stdf.frames(stdf.read_files(spark, [folder(spark, sf_dir)])))
+        _RECORDS[key] = stdf.stored(stdf.frames(files(spark, sf_dir)))
     return _RECORDS[key]

@@ -48,12 +48,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_bytes(uri: str, content: bytes) -> None:
-    """Write one file below a folder of the session; also called inside tasks."""
+def location(uri: str):
+    """The file system of a path, as tasks open it, and the path in it."""
     from pyarrow import fs
 
-    known = "://" in uri or uri.startswith("file:")
-    target, path = fs.FileSystem.from_uri(uri if known else f"file://{uri}")
+    if uri.startswith("file:"):  # with one slash or three
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def write_bytes(uri: str, content: bytes) -> None:
+    """Write one file below a folder of the session; also called inside tasks."""
+    target, path = location(uri)
     target.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with target.open_output_stream(path, compression=None) as out:
         out.write(content)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from testfloor.functions import keys, verdicts
 from testfloor.operators import identity, stream
 from testfloor.operators.ordered import rank_in_order
 from testfloor.session import materialize
+from testfloor.sources import stdf
 
 # Columns of the measurement table.
 EAV = T.StructType([
@@ -147,10 +150,22 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 # --- conversion ---------------------------------------------------------------------
 
-def convert(records: DataFrame) -> DataFrame:
+class Converted(NamedTuple):
+    """Measurement rows, and the sources that are not whole in them (``stdf.source_errors``)."""
+
+    rows: DataFrame
+    errors: DataFrame
+
+
+def convert(records: DataFrame) -> Converted:
     """Typed records (``stdf.read_events``) to measurement rows, with their ``source_id``,
-    ``record_sequence`` and ``expansion_index``."""
-    typed = materialize(records.filter(~F.col("kind").isin("FAR", "FRAME_ERROR", "DECODE_ERROR")), "records")
+    ``record_sequence`` and ``expansion_index``, and to the errors met on the way.
+
+    The rows of a damaged log are those of its readable records; whoever wants whole logs only leaves out the sources
+    among the errors, as ``dataset.ingest`` does.
+    """
+    read = materialize(records, "records")
+    typed = read.filter(~F.col("kind").isin("FAR", *stdf.ERRORS))
     events = materialize(stream.number_runs(typed, ("lot_id",)), "events")
     sessioned = stream.sessions(events)
     numbered = stream.attempts(sessioned)
@@ -184,4 +199,4 @@ def convert(records: DataFrame) -> DataFrame:
     joined = flat.join(parts, "attempt")
     renamed = {"head_num": F.col("head"), "site_num": F.col("site"), "test_time_ms": F.col("test_t"), "part_pass": verdicts.part_pass(F.col("part_flg"))}
     rows = joined.withColumns(renamed).select(*[F.col(f.name).cast(f.dataType) for f in EAV], "source_id", F.col("seq").alias("record_sequence"), "expansion_index")
-    return rows
+    return Converted(rows, stdf.source_errors(read))

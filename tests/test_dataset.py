@@ -1,5 +1,8 @@
 """Growing datasets: reuse, replacement, failures, verification, snapshots, streams."""
 
+import tempfile
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,12 +13,20 @@ from testfloor.streaming import ingest as streaming
 
 def convert(files):
     """One row per line of a text file; the word 'bad' makes it fail."""
-    lines = files.select(F.sha2("path", 256).alias("source_id"), F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
-    return lines.withColumn("file_error", F.when(F.col("line") == "bad", "bad line"))
+    names = [r.path for r in files.collect()]
+    text = files.sparkSession.read.text(names).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"), F.col("value").alias("line"))
+    rows = text.select(F.sha2("path", 256).alias("source_id"), "path", "line")
+    bad = rows.filter("line = 'bad'").select("source_id", "path", F.lit(0).cast("long").alias("record_seq"), F.lit("LINE").alias("kind"), F.lit("bad line").alias("error"))
+    return rows.drop("path"), bad
+
+
+FOLDER = tempfile.mkdtemp(prefix="texts-")
 
 
 def files(spark, **content):
-    return spark.createDataFrame([(f"/{n}", bytearray(c.encode())) for n, c in content.items()], "path string, content binary")
+    for name, text in content.items():
+        Path(FOLDER, name).write_text(text)
+    return spark.createDataFrame([(f"file:{FOLDER}/{n}",) for n in content], "path string")
 
 
 def lines(df):
@@ -33,8 +44,11 @@ def test_unchanged_changed_and_failed_files(spark):
     assert lines(dataset.read(spark, root)) == ["1", "2", "4", "5"]  # the failed file keeps its previous version
     assert lines(dataset.read_pinned(spark, root, pinned)) == ["1", "2", "3"]
     assert lines(dataset.read(spark, root, 1)) == ["1", "2", "3"]
+    assert [(r.path[-2:], r.error) for r in dataset.errors(spark, root).collect()] == [("/a", "bad line")]
+    # only what changed is written
+    assert [r["count"] for r in spark.read.parquet(f"{root}/sources").groupBy("version").count().orderBy("version").collect()] == [2, 2]
     assert dataset.ingest(spark, root, files(spark, d="bad"), convert, fail_fast=True) == "failed"
-    assert dataset.current_version(spark, root) == 2
+    assert dataset.current_version(spark, root) == 2 and dataset.errors(spark, root).first().path.endswith("/d")
     # other options convert the same file again
     assert dataset.ingest(spark, root, files(spark, b="4"), convert, options="v2") == "complete"
     assert lines(dataset.read(spark, root)) == ["1", "2", "4", "5"] and dataset.current_version(spark, root) == 3
@@ -46,13 +60,30 @@ def test_verification_finds_changed_and_missing_fragments(spark):
     assert dataset.verify(spark, root).count() == 0
     ident = dataset.pin(spark, root)
     listed = dataset.fragments(spark, root).first()
-    extra = spark.createDataFrame([(1, listed.generation, "/nowhere/part.parquet", "00", 7)], dataset.FRAGMENTS)
-    extra.write.mode("append").parquet(f"{root}/fragments")
+    extra = spark.createDataFrame([(listed.generation, "/nowhere/part.parquet", "00", 7)], dataset.FRAGMENTS.replace("version long, ", ""))
+    extra.write.mode("append").parquet(f"{root}/fragments/version=1")
     found = {r.finding for r in dataset.verify(spark, root).collect()}
     assert found == {"missing fragment"}
     assert lines(dataset.read_pinned(spark, root, ident)) == ["1", "2"]
 
 
+def test_a_run_that_stops_changes_nothing(spark, monkeypatch):
+    """Between the fragments and the sources a run may end; the next one makes the version anew."""
+    root = scratch_path(spark, "ds")
+    dataset.ingest(spark, root, files(spark, a="1"), convert)
+    writing = dataset.stored_files
+    monkeypatch.setattr(dataset, "stored_files", lambda *a: writing(*a).withColumn("rows", F.raise_error(F.lit("stopped"))))
+    with pytest.raises(Exception, match="stopped"):
+        dataset.ingest(spark, root, files(spark, a="2"), convert)
+    monkeypatch.undo()
+    stale = spark.createDataFrame([("gone", "/nowhere/part.parquet", "00", 7)], dataset.FRAGMENTS.replace("version long, ", ""))
+    stale.write.mode("append").parquet(f"{root}/fragments/version=2")
+    assert lines(dataset.read(spark, root)) == ["1"] and dataset.current_version(spark, root) == 1
+    assert dataset.ingest(spark, root, files(spark, a="2"), convert) == "complete"
+    assert lines(dataset.read(spark, root)) == ["2"] and dataset.verify(spark, root).count() == 0
+    assert lines(dataset.read(spark, root, 1)) == ["1"]
+
+
 def test_stream_adds_only_new_files(spark, tmp_path):
     inbox, root, checkpoint = tmp_path / "in", scratch_path(spark, "ds"), scratch_path(spark, "checkpoint")
     inbox.mkdir()
