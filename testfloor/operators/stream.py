@@ -173,80 +173,98 @@ def open_wafers(
     return probes.join(found, ident, "left")
 
 
-def wafer_names(records: DataFrame, scope: list[str], fall_back: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Final name per wafer interval (its WIR ``wafer_seq``): the closing WRR may correct it."""
-    events = _slot_events(records, scope, fall_back, chunk_rows)
-    opens = events.filter(_is("WIR")).select(
-        *scope, F.col("seq").alias("wafer_seq"), keys.clean_id(F.col("wafer_id")).alias("opened_as")
-    )
-    closes = events.filter(_is("WRR") & F.col("was_open").isNotNull()).select(
-        *scope, F.col("was_open").alias("wafer_seq"), F.col("seq").alias("closed_at"),
-        F.coalesce(keys.clean_id(F.col("fabwf_id")), keys.clean_id(F.col("wafer_id"))).alias("closed_as"),
+_CHANGES = "source_id string, run long, head int, seq long, slots map<int,long>, groups map<int,int>, closed long, name string"
+
+
+def _fold_slots(batches):
+    """State changes of the wafer slots of a head, from its state-changing records in order.
+
+    ``slots`` maps a site group to the record that opened its wafer, ``groups`` a site to its group.
+    """
+    import pyarrow as pa
+
+    key, slots, groups = None, {}, {}
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if key != (r["source_id"], r["run"], r["head"]):
+                key, slots, groups = (r["source_id"], r["run"], r["head"]), {}, {}
+            kind, group, closed, changed = r["kind"], r["slot"], None, True
+            if kind == "SDR":
+                groups.update({site: group for site in r["sites"] or () if site is not None})
+            elif kind == "WIR":
+                slots[group] = r["seq"]
+            elif kind == "WRR":
+                closed = slots.pop(group if group in slots else ALL_SITES, None)
+                changed = closed is not None
+            else:
+                own = groups.get(r["site"])
+                found = own in slots or ALL_SITES in slots if own is not None else bool(slots)
+                changed = not found
+                if changed:
+                    slots[ALL_SITES if own is None else own] = r["seq"]
+            if changed:
+                out.append((*key, r["seq"], list(slots.items()), list(groups.items()), closed, r["name"] if closed is not None else None))
+        if out:
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.map_(pa.int32(), pa.int64()), pa.map_(pa.int32(), pa.int32()), pa.int64(), pa.string()]
+            names = [c.split()[0] for c in _CHANGES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
+def slot_changes(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The wafer slots and site groups of every (source, run, head) after each record that changes them (strict rule).
+
+    WIR opens its slot, WRR closes its slot or else that of all sites, SDR assigns sites to groups. A side record that
+    finds no wafer opens an implicit one: in the slot of its group, or of all sites where its site has no group and the
+    head nothing open. ``closed`` names the opening record of the wafer that a WRR closes, ``name`` what it is called
+    then.
+
+    From one context record of the head to the next only the first side record of a site can open a wafer. So the
+    stream of test records is reduced to these by running sums and an aggregation, and what is left, which grows with
+    the wafers and not with the tests, is folded in order, head by head, in bounded memory.
+    """
+    scope = ["source_id", "run", "head"]
+    context = _is("WIR", "WRR", "SDR")
+    rows = records.filter((context | _is(*SIDE_KINDS)) & F.col("head").isNotNull())
+    staged = carry(rows.select(*scope, "site", "seq", "kind"), scope, "seq", chunk_rows, stretch=Running("sum", F.when(context, 1).otherwise(0)))
+    firsts = staged.filter(_is(*SIDE_KINDS)).groupBy(*scope, "site", "stretch").agg(F.min("seq").alias("seq"))
+    opened, closed = keys.clean_id(F.col("wafer_id")), F.coalesce(keys.clean_id(F.col("fabwf_id")), keys.clean_id(F.col("wafer_id")))
+    named = rows.filter(context).select(
+        *scope, "seq", "kind", F.coalesce("site_grp", F.lit(ALL_SITES)).cast("int").alias("slot"), F.col("sites").cast("array<int>").alias("sites"),
+        F.when(_is("WRR"), closed).otherwise(opened).alias("name"),
     )
-    joined = opens.join(closes, [*scope, "wafer_seq"], "left")
-    return joined.withColumn("wafer", F.coalesce("closed_as", "opened_as"))
+    side = firsts.select(*scope, "seq", F.lit("side").alias("kind"), F.col("site").cast("int").alias("site"))
+    events = named.unionByName(side, allowMissingColumns=True).withColumns({"run": F.col("run").cast("long"), "head": F.col("head").cast("int")})
+    ordered = events.repartition(*scope).sortWithinPartitions(*scope, "seq")
+    return ordered.mapInArrow(_fold_slots, _CHANGES)
 
 
 def late_wafers(records: DataFrame, probes: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Wafer of each attempt (probe) by the strict rule, per (source, run).
-
-    A side record that finds no wafer opens an implicit one in its slot: of its
-    site group, or of all sites where the head has nothing open at all. It stays
-    the slot's wafer until the next WIR or WRR there, and that WRR may name it.
-    Several open wafers without a site map are ambiguous. The sites of a head are
-    taken to be all mapped or all unmapped in a run, and mapped heads to open
-    wafers per site group.
+    """Wafer of each attempt (probe: source_id, run, head, site, seq) by the strict rule, per (source, run).
+
+    A site with a group takes the wafer of its group's slot, else that of all sites; a site without one the wafer of
+    all sites, else the only one open on the head; several are ambiguous. The wafer is called what the WRR that closed
+    it says, else as its WIR did; an implicit one has no name until then.
     """
-    scope, site = ["source_id", "run"], ["head", "site"]
-    ident = [*scope, *site, "seq"]
-    # The context is the same from one WIR, WRR or SDR of the head to the next, so
-    # the first side record of a site in such a stretch stands for all of them.
-    context = F.when(_is("WIR", "WRR", "SDR"), 1).otherwise(0)
-    staged = carry(
-        records.filter(_is(*SIDE_KINDS, "WIR", "WRR", "SDR")).select(*ident, "kind"), [*scope, "head"], "seq", chunk_rows,
-        stretch=Running("sum", context),
-    )
-    firsts = staged.filter(_is(*SIDE_KINDS)).groupBy(*scope, *site, "stretch").agg(F.min("seq").alias("seq"))
-    asked = materialize(firsts.select(*ident).unionByName(probes.select(*ident)).distinct(), "side-records")
-    found = materialize(open_wafers(records, asked, scope, True, chunk_rows), "open-wafers")
-
-    mapped = F.col("site_group").isNotNull()
-    nothing = F.col("own").isNull() & F.col("shared").isNull()
-    needs = F.when(mapped, nothing).otherwise(F.coalesce("open_count", F.lit(0)) == 0)
-    slot = F.coalesce("site_group", F.lit(ALL_SITES)).cast("int")
-    # What ends a wafer of a slot: its own WIR and WRR, and for the slot of all
-    # sites also the WRR of another slot that is not open.
-    own = records.filter(_is("WIR", "WRR")).withColumn("slot", F.coalesce("site_grp", F.lit(ALL_SITES)).cast("int"))
-    shared = _slot_events(records, scope, True, chunk_rows).filter(F.col("slot") == ALL_SITES)
-    columns = [*scope, "head", "slot", "seq", "kind", "wafer_id", "fabwf_id"]
-    ends = own.filter(F.col("slot") != ALL_SITES).select(*columns).unionByName(shared.select(*columns))
-    name = F.coalesce(keys.clean_id(F.col("fabwf_id")), keys.clean_id(F.col("wafer_id")))
-    events = ends.select(*scope, "head", "slot", "seq", F.struct(F.col("kind"), name.alias("name")).alias("event"))
-    rows = found.select(*scope, "head", slot.alias("slot"), "site", "seq", needs.cast("int").alias("needs"))
-    timeline = events.unionByName(rows, allowMissingColumns=True)
-    key = [*scope, "head", "slot"]
-    ended = carry(timeline, key, "seq", chunk_rows, epoch=Running("last", F.when(F.col("event").isNotNull(), F.col("seq"))))
-    following = carry(
-        ended.withColumn("back", -F.col("seq")), key, "back", chunk_rows, next_event=Running("last", F.col("event"))
-    ).filter(F.col("site").isNotNull()).withColumn("epoch", F.coalesce("epoch", F.lit(-1)))
-    opened = carry(following, [*key, "epoch"], "seq", chunk_rows, implicit=Running("max", F.col("needs")))
-    late = opened.select(
-        *ident, F.coalesce(F.col("implicit") == 1, F.lit(False)).alias("implicit"),
-        F.when(F.col("next_event.kind") == "WRR", F.col("next_event.name")).alias("late_name"),
-    )
-    preferred = F.when(mapped, F.col("own")).otherwise(F.col("shared"))
-    other = F.when(mapped, F.col("shared")).otherwise(F.col("wafer_seq"))
-    waits = preferred.isNull() & F.col("implicit")
-    placed = found.join(late, ident).select(
-        *ident, waits.alias("waits"), "late_name", F.when(~waits, F.coalesce(preferred, other)).alias("wafer_seq")
-    )
-    names = wafer_names(records, scope, True, chunk_rows).select(*scope, "wafer_seq", "wafer")
-    joined = probes.join(placed, ident).join(names, [*scope, "wafer_seq"], "left")
-    ambiguous = ~F.col("waits") & F.col("wafer_seq").isNull()
-    return joined.select(
-        *probes.columns, F.when(F.col("waits"), F.col("late_name")).otherwise(F.col("wafer")).alias("wafer"),
-        F.when(ambiguous, "ambiguous_wafer").alias("wafer_issue"),
-    )
+    scope = ["source_id", "run", "head"]
+    changes = materialize(slot_changes(records, chunk_rows), "slot-changes")
+    # A side record that opens a wafer finds it: its change comes before the question.
+    state = changes.select(*scope, (F.col("seq") * 2).alias("at"), F.struct("slots", "groups").alias("state"))
+    typed = {c: F.col(c).cast(kind) for c, kind in (("run", "long"), ("head", "int"))}
+    asked = probes.withColumns({f"__{c}": F.col(c) for c in ("run", "head")}).withColumns(typed)
+    asked = asked.select(*scope, (F.col("seq") * 2 + 1).alias("at"), F.struct(*[F.col(f"__{c}" if c in ("run", "head") else c).alias(c) for c in probes.columns]).alias("probe"))
+    seen = carry(state.unionByName(asked, allowMissingColumns=True), scope, "at", chunk_rows, now=Running("last", F.col("state")))
+    seen = seen.filter("probe is not null")
+    slots, groups = (F.coalesce(f"now.{c}", F.create_map().cast(state.schema["state"].dataType[c].dataType)) for c in ("slots", "groups"))
+    group, shared = F.try_element_at(groups, F.col("probe.site").cast("int")), F.try_element_at(slots, F.lit(ALL_SITES))
+    only = F.when(F.size(slots) == 1, F.map_values(slots)[0])
+    wafer_seq = F.when(group.isNotNull(), F.coalesce(F.try_element_at(slots, group), shared)).otherwise(F.coalesce(shared, only))
+    found = seen.select(*scope, "probe", wafer_seq.alias("wafer_seq"))
+    opens = records.filter(_is("WIR")).select(*[F.col(c).cast(k).alias(c) for c, k in (("source_id", "string"), ("run", "long"))], F.col("seq").alias("wafer_seq"), keys.clean_id(F.col("wafer_id")).alias("name"), F.lit(0).alias("closed"))
+    closes = changes.filter("closed is not null and name is not null").select("source_id", "run", F.col("closed").alias("wafer_seq"), "name", F.lit(1).alias("closed"))
+    names = opens.unionByName(closes).groupBy("source_id", "run", "wafer_seq").agg(F.max_by("name", "closed").alias("wafer"))
+    joined = found.join(names, ["source_id", "run", "wafer_seq"], "left")
+    return joined.select("probe.*", "wafer", F.when(F.col("wafer_seq").isNull(), "ambiguous_wafer").alias("wafer_issue"))
 
 
 def flatten_measurements(tests: DataFrame) -> DataFrame:

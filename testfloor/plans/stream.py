@@ -131,6 +131,51 @@ def _(spark, sf):
     return stream.late_wafers(rows, probes)
 
 
+def _free_fold_sql() -> str:
+    """The strict rule as a fold over all context records: slots of groups 0, 1, 2 and 255, and the group of each site,
+    which any SDR may change."""
+    groups, sites = (0, 1, 2, 255), (0, 1, 2, 3)
+    slots, maps = [(h, g) for h in (1, 2) for g in groups], [(h, x) for h in (1, 2) for x in sites]
+    mine = lambda g: f"(case n.head when 1 then f.s1_{g} else f.s2_{g} end)"
+    pick = lambda what, values: f"(case {what} " + " ".join(f"when {g} then {v}" for g, v in values) + " end)"
+    group = "(case n.head when 1 then " + pick("n.site", [(x, f"f.m1_{x}") for x in sites]) + " else " + pick("n.site", [(x, f"f.m2_{x}") for x in sites]) + " end)"
+    at = pick("n.site_grp", [(g, mine(g)) for g in groups])
+    state = ", ".join([f"f.s{h}_{g}" for h, g in slots] + [f"f.m{h}_{x}" for h, x in maps])
+    names = [f"s{h}_{g}" for h, g in slots] + [f"m{h}_{x}" for h, x in maps]
+    own = pick("e.grp", [(g, f"e.c{g}") for g in groups])
+    count = " + ".join(f"(e.c{g} is not null)::int" for g in groups)
+    only = f"coalesce({', '.join(f'e.c{g}' for g in groups)})"
+    chosen = f"(case when e.grp is not null then coalesce({own}, e.c255) when e.c255 is not null then e.c255 when {count}=1 then {only} end)"
+    steps = [
+        f"""case when kind='MIR' then null when head<>{h} then s{h}_{g} when kind='WIR' and site_grp={g} then seq
+          when kind='WRR' and (site_grp={g} or ({g}=255 and held is null)) then null when opens and {g}=coalesce(grp,255) then seq else s{h}_{g} end"""
+        for h, g in slots
+    ] + [f"case when kind='MIR' then null when kind='SDR' and head={h} and (site={x} or (site+2) % 4={x}) then site_grp else m{h}_{x} end" for h, x in maps]
+    return cte("context_records").replace("with ", "with recursive ", 1) + f""",
+ n as materialized (select *, row_number() over (partition by source_id order by seq) as rn, count(*) filter (kind='MIR') over (partition by source_id order by seq) as run,
+   case when seq % 7=0 then ' ' else wafer_id end as wid, case when kind='WRR' and seq % 3=0 then 'F'||seq % 25 end as fab from context_records),
+ f as (select source_id, 0::bigint as rn, {', '.join('null::bigint as ' + x for x in names)}, null::bigint as closed, null::bigint as sel from (select distinct source_id from context_records)
+  union all select source_id, rn, {', '.join(steps)}, case when kind='WRR' then coalesce(held, c255) end, case when opens then seq when side then chosen end
+   from (select *, side and chosen is null and (grp is not null or {count.replace('e.', '')}=0) as opens
+    from (select e.*, {chosen} as chosen from (select n.source_id, n.rn, n.seq, n.kind, n.head, n.site, n.site_grp, {state}, {group} as grp, {at} as held,
+      {', '.join(f'{mine(g)} as c{g}' for g in groups)}, n.{_SIDE} as side from f join n on n.source_id=f.source_id and n.rn=f.rn+1) e))),
+ named as (select f.source_id, f.closed as seq, any_value(coalesce(nullif(trim(n.fab),''), nullif(trim(n.wid),''))) as name from f join n using (source_id, rn) where f.closed is not null group by 1,2)"""
+
+
+@query("b05_partly_mapped", _free_fold_sql() + SESSION_SQL.format("context_records") + """
+select p.source_id, n.run, p.head, p.site, p.open_seq as seq, p.part_sequence,
+ coalesce(c.name, case when w.kind='WIR' then nullif(trim(w.wid),'') end) as wafer, case when f.sel is null then 'ambiguous_wafer' end as wafer_issue
+ from numbered p join n on p.source_id=n.source_id and p.open_seq=n.seq join f on f.source_id=n.source_id and f.rn=n.rn
+ left join named c on c.source_id=p.source_id and c.seq=f.sel left join n w on w.source_id=p.source_id and w.seq=f.sel""")
+def _(spark, sf):
+    """All context records as they are: any SDR maps some sites of a head at any time."""
+    rows = materialize(stream.number_runs(_context(spark, sf)), "numbered-records")
+    found = stream.attempts(stream.sessions(rows))
+    runs = rows.select("source_id", "run", F.col("seq").alias("open_seq"))
+    probes = found.join(runs, ["source_id", "open_seq"]).select("source_id", "run", "head", "site", F.col("open_seq").alias("seq"), "part_sequence")
+    return stream.late_wafers(rows, probes)
+
+
 @query("b06_sessions", cte("records") + SESSION_SQL.format("records") + " select source_id, head, site, open_seq, close_seq, tests, part_sequence from numbered")
 def _(spark, sf):
     return stream.attempts(stream.sessions(adapters.records(spark, sf))).drop("session")

@@ -12,8 +12,8 @@ SCHEMA = (
 )
 
 
-def random_stream(seed, length=400, strict=True):
-    """Records of two sources; per run and head either all sites are mapped or none."""
+def random_stream(seed, length=400, strict=True, free=False):
+    """Records of two sources; per run and head either all sites are mapped or none, or with ``free`` any at any time."""
     rng, rows = random.Random(seed), []
     for source in ("A", "B"):
         seq, mapped, opened = 0, {}, set()
@@ -37,9 +37,11 @@ def random_stream(seed, length=400, strict=True):
         start_run()
         for _ in range(length):
             head, site, roll = rng.choice((1, 2)), rng.randint(0, 3), rng.random()
-            grp = rng.choice((0, 1)) if mapped[head] else rng.choice((0, 1, 255, None))
+            grp = rng.choice((0, 1)) if mapped[head] and not free else rng.choice((0, 1, 255, None))
             if roll < 0.02:
                 start_run()
+            elif free and rng.random() < 0.05:
+                put("SDR", head, grp=rng.choice((0, 1, 2, 255)), sites=rng.choice([None, [], [0], [1, 2], [0, 3]]))
             elif roll < 0.10:
                 put("WIR", head, grp=grp, wafer=rng.choice([None, " ", f"W{seq}"]))
             elif roll < 0.18:
@@ -69,7 +71,7 @@ def fold(rows, strict):
             if kind == "MIR" and strict:
                 slots.clear(), groups.clear()
             elif kind == "SDR":
-                groups.update({(head, s): grp for s in sites})
+                groups.update({(head, s): grp for s in sites or []})
             elif kind == "WIR":
                 names.append(clean(wafer) if strict else wafer)
                 wafer_seq.append(seq)
@@ -128,9 +130,9 @@ def test_open_wafers_match_a_fold(spark, seed):
     assert {(r.source_id, r.head, r.site, r.seq): r.wafer_seq for r in got} == expected
 
 
-@pytest.mark.parametrize("seed", [6, 7, 8, 9])
-def test_late_wafers_match_a_fold(spark, seed):
-    rows = random_stream(seed)
+@pytest.mark.parametrize("seed, free", [(6, False), (7, False), (8, True), (9, True), (10, True)])
+def test_late_wafers_match_a_fold(spark, seed, free):
+    rows = random_stream(seed, 800 if free else 400, free=free)
     found = fold(rows, True)
     expected = {
         (f[0], f[1], f[2], f[3]): (None if f[7] is None else f[8][f[7]], "ambiguous_wafer" if f[7] is None else None) for f in found
