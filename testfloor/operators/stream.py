@@ -410,6 +410,37 @@ def assign_records(
     return state.filter("asked").select(*key, "seq", "open_count", unit.alias("unit_seq"))
 
 
+def explicit_owners(records: DataFrame, kinds: tuple[str, ...] = ("ATER", "CTRR"), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Records that name their head and site belong to the unit open there (``unit_seq`` of its PIR), if one is.
+
+    A unit ends with its PRR, or with the run.
+    """
+    key = ["source_id", "run", "head", "site"]
+    state = F.when(_is("PIR"), F.col("seq")).when(_is("PRR"), F.lit(-1))
+    rows = records.filter(_is("PIR", "PRR", *kinds) & F.col("head").isNotNull() & F.col("site").isNotNull())
+    seen = carry(rows.select(*key, "seq", "kind"), key, "seq", chunk_rows, unit=Running("last", state)).filter(_is(*kinds))
+    placed = seen.select("source_id", "run", "seq", "kind", F.when(F.col("unit") >= 0, F.col("unit")).alias("unit_seq"))
+    nowhere = records.filter(_is(*kinds) & (F.col("head").isNull() | F.col("site").isNull()))
+    return placed.unionByName(nowhere.select("source_id", "run", "seq", "kind", F.lit(None).cast("bigint").alias("unit_seq")))
+
+
+def record_owners(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The unit of every record that is no part of the test stream of a site, and how it was found.
+
+    Text and generic records go to the only open unit, event and characterisation result records to the head and site
+    that they name; ``ownership`` is ``only_open_unit``, ``explicit_head_site`` or ``unresolved`` (kept with the run).
+    """
+    text = ("DTR", "GDR")
+    alone = assign_records(records, text, ("source_id", "run"), chunk_rows)
+    kinds = records.filter(_is(*text)).select("source_id", "seq", "kind")
+    alone = alone.join(kinds, ["source_id", "seq"]).select("source_id", "run", "seq", "kind", "unit_seq", F.lit("only_open_unit").alias("how"))
+    named = explicit_owners(records, chunk_rows=chunk_rows).withColumn("how", F.lit("explicit_head_site"))
+    rows = alone.unionByName(named)
+    return rows.select(
+        "source_id", "run", "seq", "kind", "unit_seq", F.when(F.col("unit_seq").isNull(), "unresolved").otherwise(F.col("how")).alias("ownership")
+    )
+
+
 def definition_only(tests: DataFrame, records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """First parametric record of a test in a run that was not executed and has no open unit:
     a definition, not an ownership error."""

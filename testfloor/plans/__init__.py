@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("yields", "dashboard", "engineering", "stream", "quality", "trace", "sources")
+MODULES = ("yields", "dashboard", "engineering", "stream", "quality", "trace", "sources", "flows")
 
 
 def load() -> None:

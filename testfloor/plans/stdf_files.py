@@ -58,10 +58,15 @@ def _generic(w: Writer, *values) -> list[bytes]:
     return out
 
 
-def _opening(w: Writer, block: int) -> None:
+def _selected(block: int) -> list[str]:
+    """The optional fields of a MIR up to the flow id, with what selects a step."""
+    return [""] * 4 + [("P", "F", "Q")[block % 3], str(25 * (block % 2))] + [""] * 11 + [f"F{block % 4}"]
+
+
+def _opening(w: Writer, block: int, flow: bool) -> None:
     w.header()
     names = [f"LOT{block % 10}", "DEVICE", "NODE", "TESTER", f"JOB{block % 8}", f"r{block % 2}"]
-    w.add(1, 10, w.pack("II", 1000 + block, 2000 + block), b"\x01P  ", w.pack("H", 65535), b" ", *map(w.text, names))
+    w.add(1, 10, w.pack("II", 1000 + block, 2000 + block), b"\x01P  ", w.pack("H", 65535), b" ", *map(w.text, names + (_selected(block) if flow else [])))
     w.add(50, 30, w.text(f"block {block}"))
     w.add(137, 10, w.text("EVENT"), w.text("handler"), bytes([1, 0]), w.text("load"))
     w.add(99, 77, b"ABC")
@@ -90,9 +95,22 @@ def _test(w: Writer, row, site: int) -> None:
         w.add(15, 10, common, b"\x00", w.pack("f", price), name)
 
 
-def _build(block: int, rows: pd.DataFrame) -> tuple[bytes, int]:
+def _closing(w: Writer, block: int, bins: dict[int, int]) -> None:
+    """Summaries of the hard bins, some of them wrong, and the end of the program section, at times left out."""
+    for number, n in sorted(bins.items()):
+        wrong = 1 if block % 5 == 0 and number == 2 else 0
+        if not (block % 7 == 0 and number == 3):
+            w.add(1, 40, w.pack("BBHI", 255, 255, number, n + wrong), b"P", w.text(f"bin {number}"))
+    if block % 7:
+        w.add(20, 20)
+
+
+def _build(block: int, rows: pd.DataFrame, flow: bool) -> tuple[bytes, int]:
     w = Writer(block % 3 == 2)
-    _opening(w, block)
+    _opening(w, block, flow)
+    bins: dict[int, int] = {}
+    if flow:
+        w.add(20, 10, w.text("main"))
     for order, tests in rows.groupby("o_orderkey", sort=True):
         first = tests.iloc[0]
         site, customer = int(order % 4), int(first.o_custkey)
@@ -102,11 +120,18 @@ def _build(block: int, rows: pd.DataFrame) -> tuple[bytes, int]:
             _test(w, row, site)
         if order % 50 == 0:
             w.add(50, 10, *_generic(w, ("Cn", "SHMOO_RESULT"), ("U4", int(order)), ("U1", 1), ("U4", site), ("Cn", "1"), ("Cn", "0,0"), ("Cn", "i"), ("Cn", "P")))
+        if flow and order % 10 == 0:
+            w.add(50, 30, w.text(f"order {order}"))
+        if flow and order % 15 == 0:
+            w.add(137, 10, w.text("EVENT"), w.text("probe"), bytes([1, site if order % 2 else 9]), w.text("touch"))
+        bins[int(first.o_orderpriority[0])] = bins.get(int(first.o_orderpriority[0]), 0) + 1
         flags = 4 if order % 41 == 0 else {"O": 0, "F": 8}.get(first.o_orderstatus, 16)
         known = customer % 17 != 0
         x, y = (customer % 50 + 1, customer // 50 % 30000 + 1) if known else (-32768, -32768)
         body = w.pack("BBBHHHhhI", 1, site, flags, len(real), int(first.o_orderpriority[0]), int(order % 6) * 10, x, y, int(order % 1000))
         w.add(5, 20, body, b"" if order % 9 == 0 else w.text(f"U{order}"))
+    if flow:
+        _closing(w, block, bins)
     w.add(2, 20, bytes([1, 1 if block % 2 == 0 else 255]), w.pack("II", 3000 + block, int(rows.o_orderkey.nunique())))
     w.add(1, 20, w.pack("I", 4000 + block))
     content = w.content()
@@ -118,8 +143,12 @@ def _name(block: int) -> str:
     return f"S{block % 8}/run-{block:09d}{suffix}"
 
 
-def write_files(spark: SparkSession, sf_dir: str) -> str:
-    """Write one file per block of orders into a new shared folder and return the folder."""
+def write_files(spark: SparkSession, sf_dir: str, flow: bool = False) -> str:
+    """Write one file per block of orders into a new shared folder and return the folder.
+
+    With ``flow`` the files also hold what selects a flow's step, program sections, bin summaries, and text and event
+    records inside of units.
+    """
     folder = scratch_path(spark, "stdf")
     orders = adapters.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     lines = adapters.table(spark, sf_dir, "lineitem").select(
@@ -130,7 +159,7 @@ def write_files(spark: SparkSession, sf_dir: str) -> str:
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         block = int(key[0])
         order = ["o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-        content, count = _build(block, rows.sort_values(order))
+        content, count = _build(block, rows.sort_values(order), flow)
         stored = gzip.compress(content, mtime=0) if block % 4 == 1 else content
         names = [_name(block)] + ([f"copy/{_name(block)}"] if block % 5 == 0 else []) + ([f"S{block % 8}/notes-{block}.txt"] if block % 6 == 0 else [])
         for name in names:
@@ -141,14 +170,14 @@ def write_files(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
-_FOLDERS: dict[tuple[str, str], str] = {}
+_FOLDERS: dict[tuple[str, str, bool], str] = {}
 
 
-def folder(spark: SparkSession, sf_dir: str) -> str:
+def folder(spark: SparkSession, sf_dir: str, flow: bool = False) -> str:
     """The folder of this application's files for ``sf_dir``, written on first use."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, flow)
     if key not in _FOLDERS:
-        _FOLDERS[key] = write_files(spark, sf_dir)
+        _FOLDERS[key] = write_files(spark, sf_dir, flow)
     return _FOLDERS[key]
 
 
