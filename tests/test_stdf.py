@@ -7,8 +7,9 @@ import tempfile
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from testfloor.operators import stream
 from testfloor.plans.stdf_files import Writer
-from testfloor.sources import eav, framing, stdf
+from testfloor.sources import eav, framing, stdf, tables
 
 FAR = bytes.fromhex("0200000A0204")
 PIR = bytes.fromhex("0200050A0100")
@@ -137,6 +138,38 @@ def test_events_of_files_and_of_stored_records_agree(spark):
     assert (mpr.rtn_rslt, mpr.rtn_stat, mpr.site) == ([1.5, -2.5], [1, 2, 3], 2)
 
 
+def flow_log(cut=0):
+    w = Writer()
+    w.header()
+    optional = ["", "", "", "", "P", "25"] + [""] * 11 + ["F1"]
+    w.add(1, 10, w.pack("II", 5, 0), b"\x01P  ", w.pack("H", 65535), b" ", *map(w.text, ["LOT", "D", "N", "T", "JOB", "r1", *optional]))
+    generic = lambda *texts: [w.pack("H", 1 + len(texts)), b"\x00", *[b"\x0a" + w.text(t) for t in texts]]
+    w.add(50, 10, *generic("SHMOO", "0x1f", "n"))
+    w.add(5, 10, bytes([1, 3]))
+    w.add(50, 10, *generic("MARGIN_RESULT", "31", "1", "3", "t", "c", "i", "P"))
+    w.add(50, 10, *generic("something else"))
+    w.add(50, 30, w.text("inside"))
+    w.add(5, 20, w.pack("BBBHHHhhI", 1, 3, 0, 0, 1, 1, 4, 5, 7), w.text("u"))
+    w.add(1, 40, w.pack("BBHI", 255, 255, 1, 2), b"P", w.text("good"))
+    w.add(1, 20, w.pack("I", 77))
+    return w.content()[: len(w.content()) - cut]
+
+
+def test_runs_owners_and_errors_of_a_log(spark):
+    built = tables.build(stdf.read_events(written(spark, whole=flow_log(), cut=flow_log(3))))
+    runs = {name_of(r.path): (r.run, r.lot_id, r.job_nam, r.job_rev, r.test_cod, r.tst_temp, r.flow_id, r.start_t, r.finish_t) for r in built.runs.collect()}
+    same = (1, "LOT", "JOB", "r1", "P", "25", "F1", None)
+    assert runs == {"whole": (*same, 77), "cut": (*same, None)}
+    assert [(name_of(r.path), r.kind, r.error) for r in built.errors.collect()] == [("cut", "FRAME_ERROR", "unexpected end of file in record body")]
+    assert built.attempts.count() == 2
+    kinds = [(r.kind, r.char_id, r.head, r.site) for r in built.events.filter("char_id is not null").orderBy("source_id", "seq").collect()]
+    assert kinds == [("CTSR", 31, None, None), ("CTRR", 31, 1, 3)] * 2
+    owned = {(r.kind, r.ownership) for r in stream.record_owners(built.events).collect()}
+    assert owned == {("CTRR", "explicit_head_site"), ("GDR", "only_open_unit"), ("DTR", "only_open_unit")}
+    bins = built.events.filter("kind = 'HBR'").select("bin", "bin_count", "bin_name").distinct().collect()
+    assert [tuple(b) for b in bins] == [(1, 2, "good")]
+
+
 def test_padding_and_trailing_bytes(spark):
     w = Writer()
     w.header()

@@ -152,6 +152,37 @@ def test_text_belongs_to_the_only_open_unit(spark):
     assert got == {1: (1, 0), 3: (2, None), 5: (1, 2), 7: (0, None)}
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_record_owners_match_a_fold(spark, seed):
+    rng, rows, expected = random.Random(seed), [], {}
+    for source in ("A", "B"):
+        run, active = 0, {}
+        for seq in range(0, 900, 3):
+            kind = rng.choice(["PIR", "PIR", "PRR", "PRR", "PTR", "DTR", "GDR", "ATER", "CTRR", "CTSR"] if rng.random() > 0.02 else ["MIR"])
+            head, site = rng.choice([(1, 0), (1, 1), (2, 0)])
+            if kind in ("ATER", "CTRR") and rng.random() < 0.1:
+                site = None
+            if kind == "MIR":
+                run += 1
+                active = {}
+            if kind == "PIR":
+                active[head, site] = seq
+            elif kind == "PRR":
+                active.pop((head, site), None)
+            elif kind in ("DTR", "GDR"):
+                expected[source, seq] = (kind, "only_open_unit", *active.values()) if len(active) == 1 else (kind, "unresolved", None)
+            elif kind in ("ATER", "CTRR"):
+                unit = active.get((head, site))
+                expected[source, seq] = (kind, "unresolved" if unit is None else "explicit_head_site", unit)
+            plain = kind in ("MIR", "DTR", "GDR", "CTSR")
+            rows.append((source, run, seq, kind, None if plain else head, None if plain else site))
+    df = spark.createDataFrame(rows, "source_id string, run int, seq long, kind string, head int, site long")
+    for chunk in (40, 1 << 16):
+        got = stream.record_owners(df, chunk).collect()
+        assert {(r.source_id, r.seq): (r.kind, r.ownership, r.unit_seq) for r in got} == expected and len(got) == len(expected)
+    assert stream.record_owners(df.limit(0)).count() == 0
+
+
 def test_first_definition_is_inherited(spark):
     rows = [  # seq, opt, lo, hi, lo_spec, units
         (1, 0, 1.0, 9.0, 0.5, "V"), (2, 0x10, 5.0, 8.0, 0.5, ""), (3, 0x50, 5.0, 8.0, 0.7, None), (4, None, None, None, None, "mV"), (5, 0x80, 2.0, 7.0, None, "\x00"),
