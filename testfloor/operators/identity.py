@@ -176,8 +176,8 @@ def route_profiles(runs: DataFrame, routes: list[tuple[str, list[dict]]]) -> Dat
     found = _matching(routes)
     return runs.withColumn("profile", F.when(F.size(found) == 1, F.element_at(found, 1))).withColumn(
         "route_finding",
-        F.when(F.size(found) == 0, "run profile unmatched; product checks not evaluated").when(
-            F.size(found) > 1, F.concat(F.lit("run profile ambiguous: "), F.concat_ws(", ", found))
+        F.when(F.size(found) == 0, "no profile selects the run; its checks were skipped").when(
+            F.size(found) > 1, F.concat(F.lit("several profiles select the run: "), F.concat_ws(", ", found))
         ),
     )
 

@@ -476,21 +476,21 @@ def run_findings(records: DataFrame, require_wafer: bool = False, chunk_rows: in
     sections = section_balance(records, chunk_rows)
     program = sections.withColumns({
         "rule": F.lit("program_section"),
-        "message": F.when(F.col("record_type") == "EPS", "EPS without BPS").otherwise("EOF with unclosed BPS"),
+        "message": F.when(F.col("record_type") == "EPS", "section end without a section").otherwise("stream ends inside a section"),
     })
     parts = [
-        one(far, "far_position", "error", "FAR must be the first record, not repeated"),
-        one(overlap, "run_overlap", "error", "MIR before prior run/units closed"),
-        one(outside, "run_context", "error", "record outside MIR/MRR"),
-        one(lost, "part_context", "error", "record lacks valid head/site or run"),
-        one(wrong_pair, "part_pair", "error", "unmatched at head/site"),
-        one(unclosed, "unclosed_unit", "error", "MRR with unclosed unit(s)"),
-        finding(unclosed_end, "error", "unclosed_unit", None, F.lit("EOF with unclosed unit(s)")),
-        finding(not_closed, "error", "run_closure", None, F.lit("missing MIR/MRR or unclosed run")),
-        one(slots.filter((F.col("kind") == "WIR") & slot_open), "wafer_overlap", "error", "WIR replaces an unclosed wafer"),
-        one(slots.filter((F.col("kind") == "WRR") & ~slot_open), "wafer_pair", "error", "WRR without matching WIR"),
-        finding(ends.join(open_slots, ["source_id", "run"], "left_semi"), "error", "wafer_closure", None, F.lit("EOF with WIR lacking WRR")),
-        one(free, "record_ownership", "error", "unit association unresolved; retained at run level"),
+        one(far, "far_position", "error", "file header after the first record"),
+        one(overlap, "run_overlap", "error", "run opened inside a run"),
+        one(outside, "run_context", "error", "no run is open here"),
+        one(lost, "part_context", "error", "unit record without an open run"),
+        one(wrong_pair, "part_pair", "error", "unit record without its counterpart at this site"),
+        one(unclosed, "unclosed_unit", "error", "run ends while units are open"),
+        finding(unclosed_end, "error", "unclosed_unit", None, F.lit("stream ends while units are open")),
+        finding(not_closed, "error", "run_closure", None, F.lit("a run has no start or no end")),
+        one(slots.filter((F.col("kind") == "WIR") & slot_open), "wafer_overlap", "error", "wafer opened in a slot that is open"),
+        one(slots.filter((F.col("kind") == "WRR") & ~slot_open), "wafer_pair", "error", "wafer closed in a slot that is not open"),
+        finding(ends.join(open_slots, ["source_id", "run"], "left_semi"), "error", "wafer_closure", None, F.lit("stream ends while wafers are open")),
+        one(free, "record_ownership", "error", "no single unit owns the record; it stays with its run"),
         program,
     ]
     if require_wafer:
@@ -499,7 +499,7 @@ def run_findings(records: DataFrame, require_wafer: bool = False, chunk_rows: in
         names = staged.filter("kind = 'WIR'").select("source_id", F.col("seq").alias("wafer_seq"), "wafer_id")
         # The only open wafer of a head is not enough here: a site map or a shared wafer is required.
         bare = placed.join(names, ["source_id", "wafer_seq"], "left").filter(F.coalesce("wafer_id", F.lit("")) == "")
-        parts.append(finding(bare, "error", "cp_wafer", None, F.lit("CP profile requires unambiguous wafer context")))
+        parts.append(finding(bare, "error", "cp_wafer", None, F.lit("the profile asks for a known wafer")))
     return all_findings(parts)
 
 
@@ -507,20 +507,20 @@ def text_ownership(assigned: DataFrame) -> DataFrame:
     """Text records that belong to no single open unit, from ``stream.assign_records``."""
     return finding(
         assigned.filter(F.col("unit_seq").isNull()), "warning", "record_ownership", None,
-        F.lit("unit association unresolved; retained at run level"),
+        F.lit("no single unit owns the record; it stays with its run"),
     )
 
 
 def unresolved_identity(attempts: DataFrame) -> DataFrame:
     return finding(
         attempts.filter(F.col("part_merge_key").isNull()), "warning", "identity", "PRR",
-        F.lit("Coordinate identity unresolved; unit remains independent"), F.col("attempt"),
+        F.lit("no coordinate identity; the unit counts by itself"), F.col("attempt"),
     )
 
 
 def decode_findings(records: DataFrame) -> DataFrame:
     """Framing and decoding errors, and record types without a layout."""
-    message = F.concat("kind", F.lit(": "), F.coalesce("error", F.lit("raw bytes retained, field validation unavailable")))
+    message = F.concat("kind", F.lit(": "), F.coalesce("error", F.lit("kept as bytes, its fields are not checked")))
     bad = records.filter(F.col("error").isNotNull() | F.col("kind").startswith("UNKNOWN"))
     rule = (
         F.when(F.col("kind") == "FRAME_ERROR", "framing").when(F.col("error").isNotNull(), "decode").otherwise("unsupported_record")

@@ -326,13 +326,13 @@ def _(spark, sf):
  st as (select d.source_id, d.seq, e.open from (select d.*, h.head, h.site from d join (select distinct source_id, head, site from ev) h using (source_id)) d
   asof left join ev e on d.source_id=e.source_id and d.head=e.head and d.site=e.site and d.seq>=e.seq)
 select source_id, 'warning' as severity, 'record_ownership' as rule, null::varchar as record_type, seq,
- 'unit association unresolved; retained at run level' as message from st group by source_id, seq having count(*) filter (open)<>1""")
+ 'no single unit owns the record; it stays with its run' as message from st group by source_id, seq having count(*) filter (open)<>1""")
 def _(spark, sf):
     return quality.text_ownership(stream.assign_records(adapters.context_records(spark, sf)))
 
 
 @query("h15_identity", cte("attempts") + """ select source_id, 'warning' as severity, 'identity' as rule, 'PRR' as record_type, attempt as seq,
- 'Coordinate identity unresolved; unit remains independent' as message from attempts where not coalesce(wafer ~ '^[A-Z0-9]+$' and x>0 and y>0, false)""")
+ 'no coordinate identity; the unit counts by itself' as message from attempts where not coalesce(wafer ~ '^[A-Z0-9]+$' and x>0 and y>0, false)""")
 def _(spark, sf):
     rows = adapters.attempts(spark, sf)
     merge = keys.wafer_merge_key(F.col("wafer"), F.col("x"), F.col("y"))
@@ -414,7 +414,7 @@ def _(spark, sf):
 
 
 @query("e10_profile_routing", _STEP_SQL + """ select case when n=1 then case when s1 then 'probe' when s2 then 'final' when s3 then 'burnin' else 'rework' end end as profile,
- case when n=0 then 'run profile unmatched; product checks not evaluated' when n>1 then 'run profile ambiguous: '||concat_ws(', ', case when s1 then 'probe' end,
+ case when n=0 then 'no profile selects the run; its checks were skipped' when n>1 then 'several profiles select the run: '||concat_ws(', ', case when s1 then 'probe' end,
   case when s2 then 'final' end, case when s3 then 'burnin' end, case when s4 then 'rework' end) end as route_finding, count(*) as runs from n group by all""")
 def _(spark, sf):
     routed = identity.route_profiles(_flow_runs(spark, sf), STEPS)
