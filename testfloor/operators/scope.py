@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,17 +23,22 @@ class Scope:
 
 @dataclass(frozen=True)
 class Selection:
-    """Scope of the engineering views; every list is OR-ed inside, AND-ed outside."""
+    """Scope of the engineering views; every list is OR-ed inside, AND-ed outside.
+
+    Attempts are named by whatever identifies them in the rows, numbers or texts. ``excluded_devices`` may be a
+    DataFrame with ``attempt``; ``excluded_measurements`` is one whose columns name the rows to leave out.
+    """
 
     population: str = "latest"
     run: int | None = None
     wafer: str | None = None
     sites: tuple[int, ...] = ()
     tests: tuple[int, ...] = ()
-    attempts: tuple[int, ...] = ()
+    attempts: tuple = ()
     hard_bins: tuple[int, ...] = ()
     soft_bins: tuple[int, ...] = ()
-    excluded_devices: tuple[int, ...] = ()
+    excluded_devices: tuple | DataFrame = ()
+    excluded_measurements: DataFrame | None = None
     filters: dict[str, str] = field(default_factory=dict)
 
 
@@ -83,26 +89,50 @@ def in_population(df: DataFrame, population: str) -> DataFrame:
     return df.filter(F.col({"latest": "is_latest", "first": "is_first"}[population]))
 
 
+def _among_values(df: DataFrame, name: str, values) -> Column:
+    """Whether the column is one of the listed values, taken as values of its type."""
+    if len(values) > MAX_LISTED:
+        raise ValueError(f"pass lists of more than {MAX_LISTED} entries as a DataFrame")
+    kind = df.schema[name].dataType
+    return F.col(name).isin([F.lit(v).cast(kind) for v in values])
+
+
 def in_selection(df: DataFrame, selection: Selection) -> DataFrame:
+    """Rows of the selection; a filter for whose column the rows have none is an error."""
+    asked = {
+        "run": () if selection.run is None else (selection.run,), "wafer": () if selection.wafer is None else (selection.wafer,),
+        "site": selection.sites, "number": selection.tests, "attempt": selection.attempts,
+        "hard_bin": selection.hard_bins, "soft_bin": selection.soft_bins,
+    }
     condition: Column = F.lit(True)
-    if selection.run is not None:
-        condition = condition & (F.col("run") == selection.run)
-    if selection.wafer is not None:
-        condition = condition & (F.col("wafer") == selection.wafer)
-    for name, accepted in (
-        ("site", selection.sites), ("test_num", selection.tests), ("attempt", selection.attempts),
-        ("hard_bin", selection.hard_bins), ("soft_bin", selection.soft_bins),
-    ):
-        if accepted and name in df.columns:
-            condition = condition & F.col(name).isin(list(accepted))
+    for name, accepted in asked.items():
+        if accepted:
+            if name not in df.columns:
+                raise ValueError(f"the rows have no column {name} to select by")
+            condition = condition & _among_values(df, name, accepted)
     return df.filter(condition)
 
 
+def _marked(df: DataFrame, selection: Selection, measurements: bool) -> DataFrame:
+    """Rows of the selection and population with ``__out``, whether they are excluded."""
+    rows = in_population(in_selection(df, selection), selection.population)
+    parts = [selection.excluded_devices] if isinstance(selection.excluded_devices, DataFrame) else []
+    out = F.lit(False) if parts or not selection.excluded_devices else F.coalesce(_among_values(df, "attempt", selection.excluded_devices), F.lit(False))
+    if measurements and selection.excluded_measurements is not None:
+        parts.append(selection.excluded_measurements)
+    rows = rows.withColumn("__out", out)
+    for part in parts:
+        keys = part.columns if part is not selection.excluded_devices else ["attempt"]
+        marks = part.select(*[F.col(c).alias(f"__{c}") for c in keys], F.lit(True).alias("__listed")).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}").cast(df.schema[c].dataType)) for c in keys])
+        joined = rows.join(marks, same, "left")
+        rows = joined.select(*df.columns, (F.col("__out") | F.col("__listed").isNotNull()).alias("__out"))
+    return rows
+
+
 def analysis_rows(df: DataFrame, selection: Selection, measurements: bool) -> DataFrame:
     """Rows an analysis counts: population, no exclusions, last execution of a test."""
-    kept = in_population(in_selection(df, selection), selection.population)
-    if selection.excluded_devices:
-        kept = kept.filter(~F.col("attempt").isin(list(selection.excluded_devices)))
+    kept = _marked(df, selection, measurements).filter(~F.col("__out")).drop("__out")
     return kept.filter(F.col("last_execution")) if measurements else kept
 
 
@@ -112,11 +142,10 @@ def display_rows(df: DataFrame, selection: Selection, measurements: bool) -> Dat
     return in_population(shown, selection.population) if measurements else shown
 
 
-def inclusion_counts(df: DataFrame, selection: Selection) -> DataFrame:
-    scoped = in_population(in_selection(df, selection), selection.population)
-    dropped = F.col("attempt").isin(list(selection.excluded_devices) or [-1])
-    return scoped.agg(
-        F.count_if(~dropped).alias("included"), F.count_if(dropped).alias("excluded")
+def inclusion_counts(df: DataFrame, selection: Selection, measurements: bool = False) -> DataFrame:
+    """How many rows of the selection and population are included and excluded."""
+    return _marked(df, selection, measurements).agg(
+        F.count_if(~F.col("__out")).alias("included"), F.count_if(F.col("__out")).alias("excluded")
     )
 
 

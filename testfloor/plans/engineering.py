@@ -97,8 +97,8 @@ def _(spark, sf):
 @query("d04_engineering_scope", _ENG + """ select test, count(*) as n from eng where run between 23941 and 23960 and wafer='W3'
  and site in (1,2) and number in (1,6) and hard_bin in (1,2) and soft_bin in (10,20,30) and run=23953 group by 1""")
 def _(spark, sf):
-    chosen = scope.Selection(run=23953, wafer="W3", sites=(1, 2), hard_bins=(1, 2), soft_bins=(10, 20, 30))
-    rows = scope.in_selection(adapters.engineering_rows(spark, sf), chosen).filter(F.col("number").isin(1, 6))
+    chosen = scope.Selection(run=23953, wafer="W3", sites=(1, 2), tests=(1, 6), hard_bins=(1, 2), soft_bins=(10, 20, 30))
+    rows = scope.in_selection(adapters.engineering_rows(spark, sf), chosen)
     return rows.groupBy("test").agg(F.count("*").alias("n"))
 
 
@@ -122,6 +122,20 @@ def _(spark, sf):
     )
 
 
+@query("d05_excluded_measurements", _ENG + """ select number, count(*) filter (not out) as analysed, count(*) filter (out) as left_out
+ from (select *, (attempt % 7=1 and attempt<4000) or (attempt % 11=3 and number % 2=1) as out from ana) group by 1""")
+def _(spark, sf):
+    """Single measurements and whole devices left out, both as tables."""
+    rows = executions.mark_last_execution(adapters.engineering_rows(spark, sf), _KEY).filter("last_execution")
+    tests = rows.filter("attempt % 11 = 3 and number % 2 = 1").select("attempt", "test")
+    devices = rows.filter("attempt % 7 = 1 and attempt < 4000").select("attempt")
+    chosen = scope.Selection(excluded_devices=devices, excluded_measurements=tests)
+    left = scope.analysis_rows(rows, chosen, True).groupBy("number").agg(F.count("*").alias("analysed"))
+    total = scope.analysis_rows(rows, scope.Selection(), True).groupBy("number").agg(F.count("*").alias("total"))
+    joined = total.join(left, "number", "left").withColumn("analysed", F.coalesce("analysed", F.lit(0)))
+    return joined.select("number", "analysed", (F.col("total") - F.col("analysed")).alias("left_out"))
+
+
 @query("d06_display_filters", cte("attempts") + """ select attempt, lot, wafer, x, y from attempts
  where duration_ms>=100000 and (wafer in ('W3','W4') or wafer is null) and lower(lot) like '%auto%'""")
 def _(spark, sf):
@@ -390,7 +404,7 @@ def _(spark, sf):
 @query("f27_scatter_points", _PAIR_SQL + """ select attempt, site, round(x_value,6) as x_value, round(y_value,6) as y_value
  from p where x_value is not null and y_value is not null order by attempt limit 20000""")
 def _(spark, sf):
-    return _rounded(distribution.scatter_points(_analysis(spark, sf, *_POINT), _X, _Y), "x_value", "y_value")
+    return _rounded(distribution.scatter_points(_analysis(spark, sf, *_POINT), _X, _Y, 20_000), "x_value", "y_value")
 
 
 @query("f28_bin_map", _ENG + " select attempt, wafer, x, y, hard_bin, soft_bin from flagged where is_latest and wafer is not null and x is not null and y is not null")
