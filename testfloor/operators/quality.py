@@ -247,12 +247,123 @@ def field_status(fields: DataFrame) -> DataFrame:
     origin = F.when(present | (F.col("presence") == "truncated"), "explicit").when(omitted & has_default, "standard_default").otherwise("unresolved")
     checked = fields.select(
         "*", F.coalesce(status, F.lit("valid")).alias("status"), origin.alias("origin"),
-        F.when(masked, "TEST_FLG marks result unreliable/not executed").otherwise(issue).alias("issue"),
+        F.when(masked, _UNRELIABLE).otherwise(issue).alias("issue"),
     )
     valid = F.col("status") == "valid"
     return checked.select("*", F.when(valid, F.col("text")).alias("eff_text"), F.when(valid, F.col("number")).alias("eff_number"))
 
 
+# Fields that the first record of a test sets for the later ones, with the OPT_FLAG bits that ask for the
+# default and that say there is none, "field default none records".
+DEFAULT_FIELDS = """
+OPT_FLAG 0 0 MPR
+RES_SCAL 1 0 PTR|MPR
+LLM_SCAL 16 64 PTR|MPR
+HLM_SCAL 32 128 PTR|MPR
+LO_LIMIT 16 64 PTR|MPR
+HI_LIMIT 32 128 PTR|MPR
+START_IN 0 2 MPR
+INCR_IN 0 2 MPR
+RTN_INDX 0 0 MPR
+UNITS 0 0 PTR|MPR
+UNITS_IN 0 0 MPR
+C_RESFMT 0 0 PTR|MPR
+C_LLMFMT 0 0 PTR|MPR
+C_HLMFMT 0 0 PTR|MPR
+LO_SPEC 0 4 PTR|MPR
+HI_SPEC 0 8 PTR|MPR
+"""
+_UNRELIABLE = "the flags call the result unreliable"
+
+
+def _default_rules() -> Column:
+    """Map of "record field" to its bits (default, none)."""
+    cells = []
+    for line in DEFAULT_FIELDS.strip().splitlines():
+        name, default, none, records = line.split()
+        for record in records.split("|"):
+            cells += [F.lit(f"{record} {name}"), F.array(F.lit(int(default)), F.lit(int(none)))]
+    return F.create_map(*cells)
+
+
+def resolved_status(checked: DataFrame, runs: DataFrame) -> DataFrame:
+    """``field_status`` rows with the fields of a test resolved against the first record of the test in its run.
+
+    ``checked`` rows also have ``record_seq``, ``test_num``, ``parm_flg`` and ``rtn_icnt``; ``runs`` gives the ``run`` of a
+    (source_id, record_seq). Added is ``inherited_from``, the record_seq of the definition that a value was taken from.
+    A result that the flags call unreliable is unknown, not invalid. Truncated and faulty fields stay as they are.
+
+    The definitions are the rows of one record per test and run, found by the least record_seq.
+    """
+    key = ["source_id", "run", "record", "test_num"]
+    rules, name = _default_rules(), F.col("field")
+    rows = checked.join(runs.select("source_id", "record_seq", "run"), ["source_id", "record_seq"], "left")
+    rows = rows.withColumn("__rule", F.try_element_at(rules, F.concat_ws(" ", "record", "field")))
+    tests = F.col("record").isin("PTR", "MPR")
+    steered = rows.filter(tests & (F.col("__rule").isNotNull() | name.isin("RESULT", "RTN_RSLT")))
+    others = rows.filter(~tests | (F.col("__rule").isNull() & ~name.isin("RESULT", "RTN_RSLT")))
+    steered = materialize(steered, "steered-fields")
+    least = steered.groupBy(*key).agg(F.min("record_seq").alias("first_seq"))
+    steered = steered.join(least, key)
+
+    omitted, bits = F.col("presence") == "omitted", lambda opt, i: F.coalesce(opt.bitwiseAND(F.col("__rule")[i]) != 0, F.lit(False))
+    text = F.col("kind") == "Cn"
+    blank = omitted | (F.col("text") == "")
+    fixed = F.col("issue").isNotNull() | F.col("presence").isin("truncated", "unread")
+    result = name.isin("RESULT", "RTN_RSLT")
+    outcome = lambda status, value_text=None, value_number=None, origin="explicit", source=None, issue=None: F.struct(
+        F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"),
+        (F.lit(None) if value_text is None else value_text).cast("string").alias("eff_text"),
+        (F.lit(None) if value_number is None else value_number).cast("double").alias("eff_number"),
+        (F.lit(origin) if isinstance(origin, str) else origin).alias("origin"),
+        (F.lit(None) if source is None else source).cast("long").alias("inherited_from"), F.lit(issue).cast("string").alias("issue"),
+    )
+    as_is = outcome(F.col("status"), F.col("eff_text"), F.col("eff_number"), F.col("origin"))
+    explicit = outcome("valid", F.col("text"), F.col("number"))
+
+    def resolve(opt: Column, inherited: Column, has_prior: bool) -> Column:
+        masks = (F.col("__rule")[0] != 0) | (F.col("__rule")[1] != 0)
+        numeric = (
+            F.when(bits(opt, 1), outcome("missing")).when(omitted | bits(opt, 0), inherited)
+            .when(opt.isNull() & masks, outcome("unknown", origin="unresolved")).otherwise(explicit)
+        )
+        texts = F.when(blank, inherited if has_prior else as_is).when(F.col("text") == "\x00", outcome("valid", F.lit(""))).otherwise(as_is)
+        flag = F.when(omitted, inherited).otherwise(as_is)
+        found = F.when(text, texts).when(name == "OPT_FLAG", flag).otherwise(numeric)
+        length = F.size(F.from_json(found["eff_text"], "array<double>"))
+        wrong = (name == "RTN_INDX") & (found["status"] == "valid") & ~length.eqNullSafe(F.col("rtn_icnt"))
+        return F.when(wrong, outcome("invalid", issue="RTN_INDX and RTN_ICNT differ in length")).otherwise(found)
+
+    unresolved = outcome("unknown", origin="unresolved")
+    own = steered.withColumn("__own", resolve(F.col("opt_flag"), unresolved, False))
+    definitions = own.filter((F.col("record_seq") == F.col("first_seq")) & ~result)
+    priors = definitions.select(
+        *key, "field", F.col("opt_flag").alias("__opt"), F.when(fixed, as_is).otherwise(F.col("__own")).alias("__prior")
+    )
+    joined = own.join(priors, [*key, "field"], "left")
+    prior = F.col("__prior")
+    inherited = F.when(
+        prior["status"].isin("valid", "missing"),
+        outcome(prior["status"], prior["eff_text"], prior["eff_number"], "inherited", F.col("first_seq")),
+    ).otherwise(unresolved)
+    later = resolve(F.coalesce("opt_flag", "__opt"), inherited, True)
+    same = later["eff_number"].eqNullSafe(prior["eff_number"])
+    changed = name.isin("LO_SPEC", "HI_SPEC") & ~omitted & (later["status"] == "valid") & (prior["status"] == "valid") & ~same
+    later = F.when(changed, outcome("invalid", issue="another specification limit than at first")).otherwise(later)
+    first = F.col("record_seq") == F.col("first_seq")
+    unreliable = verdicts.has_bits(F.coalesce("test_flg", F.lit(0)), 0x3F) | verdicts.has_bits(F.coalesce("parm_flg", F.lit(0)), 0x07)
+    faulty = F.col("issue").isNotNull() & (F.col("issue") != _UNRELIABLE)
+    plain_issue = F.struct(*[as_is[c].alias(c) for c in ("status", "eff_text", "eff_number", "origin", "inherited_from")], F.col("issue").alias("issue"))
+    chosen = (
+        F.when(result & unreliable & ~faulty, outcome("unknown", origin=F.col("origin")))
+        .when(result | fixed, plain_issue).when(first, F.col("__own")).otherwise(later)
+    )
+    kept = [c for c in checked.columns if c not in ("status", "eff_text", "eff_number", "origin", "issue")]
+    done = joined.withColumn("__chosen", chosen).select(*kept, "run", "__chosen.*")
+    plain = others.withColumn("inherited_from", F.lit(None).cast("long")).select(*kept, "run", "status", "eff_text", "eff_number", "origin", "inherited_from", "issue")
+    return done.unionByName(plain)
+
+
 # Default list of required fields, "record field flows".
 DEFAULT_CHECKS = """
 FAR CPU_TYPE CP|FT

@@ -166,7 +166,7 @@ FIELD_SQL = """, plain as (select *, case
   when base_issue is not null then 'invalid' when presence='omitted' then case when has_default then 'missing' else 'unknown' end
   when is_default then 'missing' else 'valid' end as status,
   case when presence='present' then 'explicit' when has_default then 'standard_default' else 'unresolved' end as origin,
-  case when field='RESULT' and test_flg & 63<>0 then 'TEST_FLG marks result unreliable/not executed' else base_issue end as issue from plain),
+  case when field='RESULT' and test_flg & 63<>0 then 'the flags call the result unreliable' else base_issue end as issue from plain),
  checked as (select *, case when status='valid' then text end as eff_text, case when status='valid' then number end as eff_number from st)"""
 
 _FIELDS = cte("fields") + FIELD_SQL

@@ -79,7 +79,8 @@ def _opening(w: Writer, block: int, flow: bool) -> None:
     w.add(50, 10, *_generic(w, *head, *axis, *track))
 
 
-def _test(w: Writer, row, site: int) -> None:
+def _test(w: Writer, row, site: int, later: int | None = None) -> None:
+    """A test record; ``later`` (0-3) is how it differs from the definition that an earlier one gave."""
     number = int(row.l_linenumber)
     flags = {"R": 128, "A": 0}.get(row.l_returnflag, (16, 64, 1)[int(row.l_suppkey) % 3])
     common, name = w.pack("IBBB", number, 1, site, flags), w.text(f"T{number}")
@@ -88,9 +89,10 @@ def _test(w: Writer, row, site: int) -> None:
         w.add(15, 20, common, b"\x00", w.pack("IIIIiihHH", 1, 2, 3, 4, -1, -2, -3, 0, 0), w.pack("H", 0), w.text(f"pat{int(row.l_suppkey) % 10}"), w.text(""), w.text(""), name)
     elif number == 7:
         w.add(15, 15, common, b"\x00", w.pack("HH", 3, 2), b"\x21\x03", w.pack("ff", price, price + 1), name)
-    elif number % 2:
-        limits = w.pack("ff", 5000.0, 95000.0) + w.text("mA")
-        w.add(15, 10, common, b"\x00", w.pack("f", price), name, w.text(""), bytes([0, 0, 0, 0]), limits)
+    elif number % 2 and later != 0:
+        flag = (0, 0x30, 0x40, 0)[later or 0]
+        limits = w.pack("ff", 1.0, 2.0) + w.text("mA") if later == 1 else w.pack("ff", 5000.0, 95000.0) + w.text("" if later == 2 else "mA")
+        w.add(15, 10, common, b"\x00", w.pack("f", price), name, w.text(""), bytes([flag, 0, 0, 0]), limits)
     else:
         w.add(15, 10, common, b"\x00", w.pack("f", price), name)
 
@@ -109,6 +111,7 @@ def _build(block: int, rows: pd.DataFrame, flow: bool) -> tuple[bytes, int]:
     w = Writer(block % 3 == 2)
     _opening(w, block, flow)
     bins: dict[int, int] = {}
+    defined: set[int] = set()
     if flow:
         w.add(20, 10, w.text("main"))
     for order, tests in rows.groupby("o_orderkey", sort=True):
@@ -117,7 +120,8 @@ def _build(block: int, rows: pd.DataFrame, flow: bool) -> tuple[bytes, int]:
         w.add(5, 10, bytes([1, site]))
         real = tests[tests.l_linenumber.notna()]
         for row in real.itertuples():
-            _test(w, row, site)
+            _test(w, row, site, int(order % 4) if flow and row.l_linenumber in defined else None)
+            defined.add(row.l_linenumber)
         if order % 50 == 0:
             w.add(50, 10, *_generic(w, ("Cn", "SHMOO_RESULT"), ("U4", int(order)), ("U1", 1), ("U4", site), ("Cn", "1"), ("Cn", "0,0"), ("Cn", "i"), ("Cn", "P")))
         if flow and order % 10 == 0:

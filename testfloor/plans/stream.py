@@ -252,35 +252,27 @@ _PTR_SQL = """select concat('S', l_orderkey % 8) as source_id, l_orderkey % 40 a
 _ORDER = ["k0", "k1", "k2", "k3", "k4", "k5"]
 
 
-def _field_sql(name: str, default: int, missing: int, spec: bool) -> str:
-    """Value and status of one field by the rule, from the row ``t`` and its first definition ``f``."""
-    own_known = "t.opt_flag is not null" if default or missing else "true"
-    own = f"""case when t.opt_flag & {missing} <> 0 then 'missing' when t.{name} is null or t.opt_flag & {default} <> 0 then 'unknown'
-      when {own_known} then 'valid' else 'unknown' end"""
-    opt = "coalesce(t.opt_flag, f.opt_flag)"
-    known = f"{opt} is not null" if default or missing else "true"
-    changed = f" when f.{name}_status='valid' and f.{name}<>t.{name} then 'invalid'" if spec else ""
-    later = f"""case when {opt} & {missing} <> 0 then 'missing'
-      when t.{name} is null or {opt} & {default} <> 0 then case when f.{name}_status in ('valid','missing') then f.{name}_status else 'unknown' end
-      when not ({known}) then 'unknown'{changed} else 'valid' end"""
-    inherit = f"not is_first and (t.{name} is null or coalesce({opt} & {default} <> 0,false)) and not coalesce({opt} & {missing} <> 0,false)"
-    return own, later, inherit
-
-
 def _inherit_sql() -> str:
+    """The rule field by field; each status is computed once, in the step that its value reads."""
     masks = {"lo_limit": (16, 64, False), "hi_limit": (32, 128, False), "lo_spec": (0, 4, True), "hi_spec": (0, 8, True)}
-    first, result = [], []
-    for name, (default, missing, spec) in masks.items():
-        own, later, inherit = _field_sql(name, default, missing, spec)
-        first.append(f"({own}) as {name}_status, case when ({own})='valid' then t.{name}::double end as {name}")
-        status = f"(case when is_first then {own} else {later} end)"
-        result.append(f"""{status} as {name}_status, round(case when {status}<>'valid' then null
-           when {inherit} then f.{name} else t.{name}::double end, 6) as {name}""")
-    return f"""with p as ({_PTR_SQL}), t as (select *, row_number() over (partition by source_id, run, kind, test_num order by {', '.join(_ORDER)})=1 as is_first from p),
- f as (select source_id, run, kind, test_num, opt_flag, units, {', '.join(first)} from t where is_first)
- select t.source_id, t.run, t.kind, t.test_num, t.k0, t.k1, t.k2, is_first as is_first_definition,
-  case when not is_first and coalesce(t.units,'')='' then f.units else t.units end as units, {', '.join(result)}
- from t join f on t.source_id=f.source_id and t.run=f.run and t.kind=f.kind and t.test_num=f.test_num"""
+    own, first, taken, final = [], [], [], []
+    for n, (default, missing, spec) in masks.items():
+        known = lambda opt: f"{opt} is not null" if default or missing else "true"
+        own.append(f"""case when opt_flag & {missing} <> 0 then 'missing' when {n} is null or opt_flag & {default} <> 0 then 'unknown'
+          when {known('opt_flag')} then 'valid' else 'unknown' end as {n}_own""")
+        first.append(f"{n}_own as f_{n}_status, case when {n}_own='valid' then {n}::double end as f_{n}")
+        changed = f" when f_{n}_status='valid' and f_{n}<>{n} then 'invalid'" if spec else ""
+        taken.append(f"""coalesce({n} is null or opt & {default} <> 0, false) as {n}_taken,
+         case when is_first then {n}_own when opt & {missing} <> 0 then 'missing' when {n} is null or opt & {default} <> 0 then
+          case when f_{n}_status in ('valid','missing') then f_{n}_status else 'unknown' end when not ({known('opt')}) then 'unknown'{changed} else 'valid' end as {n}_status""")
+        final.append(f"{n}_status, round(case when {n}_status='valid' then case when not is_first and {n}_taken then f_{n} else {n}::double end end, 6) as {n}")
+    key = "source_id, run, kind, test_num"
+    return f"""with p as ({_PTR_SQL}), t as (select *, row_number() over (partition by {key} order by {', '.join(_ORDER)})=1 as is_first from p),
+ o as materialized (select *, {', '.join(own)} from t),
+ f as materialized (select {key}, opt_flag as f_opt, units as f_units, {', '.join(first)} from o where is_first),
+ j as (select *, coalesce(opt_flag, f_opt) as opt from o join f using ({key})),
+ r as materialized (select *, {', '.join(taken)} from j)
+ select {key}, k0, k1, k2, is_first as is_first_definition, case when not is_first and coalesce(units,'')='' then f_units else units end as units, {', '.join(final)} from r"""
 
 
 @query("b11_definition_inheritance", _inherit_sql())

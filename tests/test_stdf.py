@@ -7,7 +7,7 @@ import tempfile
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from testfloor.operators import stream
+from testfloor.operators import quality, stream
 from testfloor.plans.stdf_files import Writer
 from testfloor.sources import eav, framing, stdf, tables
 
@@ -170,6 +170,42 @@ def test_runs_owners_and_errors_of_a_log(spark):
     assert [tuple(b) for b in bins] == [(1, 2, "good")]
 
 
+def test_fields_take_what_the_first_record_defined(spark):
+    w = Writer()
+    w.header()
+    w.add(1, 10, w.pack("II", 5, 6), b"\x01P  ", w.pack("H", 65535), b" ", *map(w.text, ["LOT", "D", "N", "T", "JOB"]))
+
+    def ptr(number, tail=b"", flg=0, parm=0):
+        w.add(15, 10, w.pack("IBBBB", number, 1, 0, flg, parm), w.pack("f", 1.5), w.text("t"), w.text(""), tail)
+
+    def tail(opt, lo, hi, units, *specs):
+        return bytes([opt, 1, 2, 3]) + w.pack("ff", lo, hi) + w.text(units) + w.text("") * 3 + (w.pack("ff", *specs) if specs else b"")
+
+    ptr(1, tail(0, 1, 9, "V", 0.5, 9.5)), ptr(1), ptr(1, tail(0x30, 5, 6, "", 0.5, 9.0)), ptr(1, tail(0x51, 5, 6, "\x00", 0.5, 9.5), flg=0x10), ptr(2), ptr(2, tail(0x10, 5, 6, "A"), parm=4)
+    add = lambda number, icnt, extra: w.add(15, 15, w.pack("IBBB", number, 1, 0, 0), b"\x00", w.pack("HH", icnt, 0), b"\x00" * ((icnt + 1) // 2), w.text("m"), extra)
+    multi_tail = lambda n: w.text("") + bytes([0, 0, 0, 0]) + w.pack("ffff", 1, 2, 3, 4) + w.pack("H" * n, *range(n))
+    add(7, 2, multi_tail(2)), add(7, 2, b""), add(7, 3, b"")
+    w.add(1, 10, w.pack("II", 5, 6), b"\x01P  ", w.pack("H", 65535), b" ", *map(w.text, ["LOT", "D", "N", "T", "JOB"]))
+    ptr(1)  # another run has no definition yet
+    files = written(spark, a=w.content())
+    events = stream.number_runs(stdf.read_events(files)).select("source_id", F.col("seq").alias("record_seq"), "run")
+    checked = quality.field_status(stdf.field_evidence(stdf.frames(files)))
+    rows = quality.resolved_status(checked, events).collect()
+    assert len(rows) == checked.count()
+    got = {(r.record_seq, r.field): (r.status, r.eff_number if r.eff_text is None else r.eff_text, r.inherited_from) for r in rows}
+    at = lambda seq, *fields: [got[seq, f] for f in fields]
+    assert at(2, "LO_LIMIT", "UNITS", "HI_SPEC") == [("valid", 1.0, None), ("valid", "V", None), ("valid", 9.5, None)]
+    assert at(3, "LO_LIMIT", "HI_LIMIT", "UNITS", "HI_SPEC", "RES_SCAL") == [("valid", 1.0, 2), ("valid", 9.0, 2), ("valid", "V", 2), ("valid", 9.5, 2), ("valid", 1.0, 2)]
+    assert at(4, "LO_LIMIT", "UNITS", "LO_SPEC", "HI_SPEC") == [("valid", 1.0, 2), ("valid", "V", 2), ("valid", 0.5, None), ("invalid", None, None)]
+    assert at(5, "LO_LIMIT", "HI_LIMIT", "UNITS", "RES_SCAL", "RESULT") == [("missing", None, None), ("valid", 6.0, None), ("valid", "", None), ("valid", 1.0, 2), ("unknown", None, None)]
+    assert at(6, "LO_LIMIT", "UNITS") == [("unknown", None, None), ("missing", None, None)]
+    assert at(7, "LO_LIMIT", "HI_LIMIT", "UNITS", "RESULT") == [("unknown", None, None), ("valid", 6.0, None), ("valid", "A", None), ("unknown", None, None)]
+    assert at(8, "RTN_INDX", "START_IN", "OPT_FLAG") == [("valid", "[0, 1]", None), ("valid", 3.0, None), ("valid", 0.0, None)]
+    assert at(9, "RTN_INDX", "START_IN", "OPT_FLAG", "LO_LIMIT") == [("valid", "[0, 1]", 8), ("valid", 3.0, 8), ("valid", 0.0, 8), ("valid", 1.0, 8)]
+    assert at(10, "RTN_INDX")[0] == ("invalid", None, None)
+    assert at(12, "LO_LIMIT", "UNITS") == [("unknown", None, None), ("missing", None, None)]
+
+
 def test_padding_and_trailing_bytes(spark):
     w = Writer()
     w.header()
