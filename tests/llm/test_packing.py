@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
 from testfloor.llm import packing
@@ -86,3 +87,17 @@ def test_ids_equal_the_tokenizers_library(sf):
     texts += [t or "" for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
     for text in texts:
         assert made.ids(text) == made.made.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("part", [" ", "\t", " \t", "a", "7", "!", " b"])
+def test_long_runs_of_one_kind(spark, part):
+    """A million characters of one kind, alone and before a letter, have the ids of the library."""
+    made = packing.Encoder(tokenizer_file())
+    long = part * (1_000_000 // len(part))
+    for text in (long, long + "x"):
+        ids = made.ids(text)
+        assert ids == made.made.encode(text, add_special_tokens=False).ids
+    if part == " ":
+        docs = spark.createDataFrame([(1, long), (2, "word" + " " * packing.LONG_SPACE + "word"), (3, None)], "doc_id long, text string")
+        cut = packing.pieces(docs, tokenizer_file(), 1, 2048, with_ids=False).groupBy("doc_id").sum("length").collect()
+        assert {r[0]: r[1] for r in cut}[3] == 1 and len(cut) == 3
