@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
@@ -56,27 +57,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
+def chain(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of the ordered pairs (x, y). It is not linear, so sums of pairs cannot cancel."""
+    return mix(mix(x) * _U(0x9E3779B97F4A7C15) + y)
 
 
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM_BASES = (0xD6E8FEB86659FD93 | 1, 0xA0761D6478BD642F | 1)
-
-
-def _window_sums(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of values[start:end], whatever their place."""
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * _powers(base, len(values)), out=sums[1:])
-    return (sums[ends] - sums[starts]) * _powers(_inverse(base), len(values) + 1)[starts]
+# Words of up to this many bytes are hashed eight bytes at a time over all words of a block, longer ones one by one.
+_SHORT_WORD = 64
+_LOW_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=_U)
 
 
 @dataclass
@@ -93,9 +81,22 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        codes = np.random.RandomState(7).randint(0, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-        found = _window_sums(codes[self.data], _BYTE_BASE, self.starts, self.ends)
-        return mix(found + (self.ends - self.starts).astype(_U))
+        """64-bit hashes of the words' bytes."""
+        sizes = self.ends - self.starts
+        out = mix(sizes.astype(_U))
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        left = np.flatnonzero(sizes <= _SHORT_WORD)
+        for at in range(0, _SHORT_WORD, 8):
+            left = left[sizes[left] > at]
+            if not len(left):
+                break
+            value = eight[self.starts[left] + at] & _LOW_BYTES[np.minimum(sizes[left] - at, 8)]
+            out[left] = chain(out[left], value)
+        for i in np.flatnonzero(sizes > _SHORT_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]])
+        return out
 
 
 WHITE = np.zeros(256, bool)
@@ -124,7 +125,14 @@ def find_words(data: np.ndarray, edges: np.ndarray, separator: np.ndarray = WHIT
 
 
 def rolling(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all runs of ``k`` consecutive values (not minding row ends)."""
+    """Hashes of all runs of ``k`` consecutive values (not minding row ends), put together from runs of powers of two."""
     n = max(0, len(hashes) - k + 1)
-    at = np.arange(n)
-    return mix(_window_sums(hashes, _GRAM_BASES[seed], at, at + k) + _U(k))
+    power, size, done = chain(np.full(len(hashes), seed + 1, _U), hashes), 1, 0
+    out = np.full(n, k, _U)
+    while n and done < k:
+        if k & size:
+            out = chain(out, power[done : done + n])
+            done += size
+        if done < k:
+            power, size = chain(power[: len(power) - size], power[size:]), 2 * size
+    return out
