@@ -12,8 +12,10 @@ value no other document has are left out before pairs of them are formed.
 Documents with equal shingle sets are one class with the smallest doc_id as its
 representative, found by a pre-aggregated grouping; only representatives enter
 the tables. Members of a table's bucket are compared with centres in rounds: its
-smallest member first, then the smallest members of 2, 4, 8, ... parts of it, until
-the members that were no centre yet are one component. A centre is only compared with
+smallest member first, then those of the highest level, the next lower ones and so on, until
+the members that were no centre yet are one component. A document's level is drawn by
+a hash, each level is half as likely as the one below, and so no two documents are
+compared in two rounds. A centre is only compared with
 members of other components, so no link between components is lost, and copies of
 one text never expand into pairs. Of the compared pairs those go on whose sketches
 agree in ``agreeing`` of the minhashes (of 42, a pair of similarity 0.8 has fewer
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from testfloor.llm.components import components
 from testfloor.llm.words import blocks, chain, find_words, lowered, mix, text_bytes
@@ -110,6 +112,7 @@ def _sketch(k: int, collections: int, width: int):
     return run
 
 
+_PLACES = 1 << 20
 _SCHEMA = "doc_id {}, n_shingles long, mark1 long, mark2 long, parts array<long>, sketch binary"
 
 
@@ -145,7 +148,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     kind = docs.schema["doc_id"].dataType.simpleString()
     pairs = materialize(_agreeing(pairs, reps, percent, agreeing), "candidates")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    # At most _PLACES places of ids are broadcast; they keep most other texts out of the shuffle of the exact join.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
+    places = F.broadcast(wanted.select(place.alias("place")).distinct())
+    texts = docs.select("doc_id", "text", place.alias("place")).join(places, "place", "left_semi").drop("place")
+    texts = texts.join(wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(k), f"doc_id {kind}, shingles array<long>")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
@@ -154,14 +161,18 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     return joined.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _pairs(open_: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of centres and members of other components, centres): a centre is the smallest member of a part of a bucket."""
-    part = F.pmod(F.xxhash64("doc_id", F.lit(parts)), F.lit(parts))
-    lowest = open_.groupBy("key", part.alias("part")).agg(F.min("doc_id").alias("a"))
-    centres = open_.join(lowest.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    centres = materialize(centres.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca")), "centres")
+def _level(doc_id: str) -> Column:
+    """Zero bits at the end of a hash: each level is half as likely as the one below."""
+    mixed = F.xxhash64(F.col(doc_id), F.lit("level"))
+    return F.bit_count(mixed.bitwiseAND(-mixed) - 1)
+
+
+def _pairs(open_: DataFrame, level: int) -> DataFrame:
+    """The pairs of members of this level or above, the centres, and members of other components of their buckets."""
+    centres = open_.filter(_level("doc_id") >= level)
+    centres = centres.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
     pairs = open_.join(centres, "key").filter("component <> ca")
-    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), centres
+    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
 
 
 def groups(
@@ -188,7 +199,7 @@ def groups(
     members = materialize(entries.join(shared, "key"), "buckets")
     stars = members.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links = materialize(_confirm(stars, docs, reps, k, percent, agreeing), "star-links")
-    remaining, parts = members.filter("a <> doc_id").select("key", "doc_id"), 2
+    remaining, level = members.filter("a <> doc_id").select("key", "doc_id"), None
     while True:
         found = components(links)
         named = remaining.select("key", "doc_id").join(
@@ -197,12 +208,15 @@ def groups(
         named = named.withColumn("component", F.coalesce("component", "doc_id"))
         mixed = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed")
         open_ = materialize(named.join(mixed.select("key"), "key", "left_semi"), "open-buckets")
-        if open_.isEmpty():
+        largest = open_.groupBy("key").count().agg(F.max("count")).first()[0]
+        if largest is None:
             break
-        pairs, centres = _pairs(open_, parts)
-        more = materialize(_confirm(pairs, docs, reps, k, percent, agreeing), "round-links")
-        links, parts = links.union(more), 2 * parts
-        remaining = open_.join(centres.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        # Two levels a round: the first round has a few centres in the largest bucket.
+        level = largest.bit_length() - 2 if level is None else level - 2
+        level = max(level, 0)
+        more = _confirm(_pairs(open_, level), docs, reps, k, percent, agreeing)
+        links = links.union(materialize(more, "round-links"))
+        remaining = open_.filter(_level("doc_id") < level)
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         *mark, F.coalesce("component", "rep").alias("component_id")
     )
