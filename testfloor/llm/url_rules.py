@@ -100,7 +100,7 @@ def verdicts(
     """Every URL row with host, path, rule, pattern and verdict.
 
     The longest fitting rule of ``rules`` decides; else the longest fitting one of
-    ``patterns``; else ``default``. Columns of those names that the input has are
+    ``patterns``; else ``default``. Columns of those names, in any case, that the input has are
     replaced. NULL URLs and such without ``://`` have an empty host and path;
     repeated rows stay repeated.
     """
@@ -108,7 +108,7 @@ def verdicts(
     both = [(r, a, 0) for r, a in dict(rules).items()] + [(r, a, 1) for r, a in dict(patterns).items()]
     found = judge(urls, both)
     host, path = host_and_path(F.col("url"))
-    kept = [c for c in urls.columns if c not in added]
+    kept = [c for c in urls.columns if c.lower() not in added]
     rows = urls.select(*kept, host.alias("host"), path.alias("path"))
     decided = found.select(
         "host",
