@@ -163,10 +163,10 @@ def cutoffs(
     """One row per stratum with labelled documents: n_good and a cutoff (or NULL) per rule.
 
     ``labels`` has doc_id and quality; documents with a label of 1 are the good
-    ones (once each). Without labels the table is empty.
+    ones. Repeated rows of a document count once. Without labels the table is empty.
     """
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
-    labelled = measured.join(good, "doc_id", "left_semi")
+    labelled = measured.join(good, "doc_id", "left_semi").distinct()
     values = rule_values()
     counts = labelled.groupBy("stratum").agg(
         F.count("*").alias("n_good"),
