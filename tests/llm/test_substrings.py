@@ -46,3 +46,14 @@ def test_shared_passages_nulls_and_copies(spark):
     twice = substrings.remove(docs.union(docs), window=10, seed=5).collect()
     assert len(twice) == 2 * len(rows) and {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in twice} == got
     assert substrings.remove(docs.limit(0)).count() == 0
+
+
+def test_words_that_cancel_in_linear_hashes(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    shared = [f"w{i}" for i in range(49)]
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one, *shared])), (2, " ".join([other, *shared])), (3, " ".join(one)), (4, " ".join(other))]
+    out = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute(rows, 50)
