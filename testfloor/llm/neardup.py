@@ -15,7 +15,8 @@ the tables. Members of a table's bucket are compared with centres in rounds: its
 smallest member first, then those of the highest level, the next lower ones and so on, until
 the members that were no centre yet are one component. A document's level is drawn by
 a hash, each level is half as likely as the one below, and so no two documents are
-compared in two rounds. A centre is only compared with
+compared in two of the rounds after the first. In the last round all members left are centres:
+members of other components that stay below the similarity are all compared, with the square of their number. A centre is only compared with
 members of other components, so no link between components is lost, and copies of
 one text never expand into pairs. Of the compared pairs those go on whose sketches
 agree in ``agreeing`` of the minhashes (of 42, a pair of similarity 0.8 has fewer
