@@ -15,10 +15,15 @@ the tables. Members of a table's bucket are compared with centres in rounds: its
 smallest member first, then those of the highest level, the next lower ones and so on, until
 the members that were no centre yet are one component. A document's level is drawn by
 a hash, each level is half as likely as the one below, and so no two documents are
-compared in two of the rounds after the first. In the last round all members left are centres:
-members of other components that stay below the similarity are all compared, with the square of their number. A centre is only compared with
+compared in two of the rounds after the first. A centre is only compared with
 members of other components, so no link between components is lost, and copies of
-one text never expand into pairs. Of the compared pairs those go on whose sketches
+one text never expand into pairs. All members' distances (one less similarity) from
+the smallest member are known after the first round. This distance obeys the triangle
+inequality, so two members whose distances from it differ by more than 0.2 cannot be
+alike and are no pair. In the last round all members left are centres: members of
+other components that stay below the similarity and are equally far from the smallest
+member are all compared, with the square of their number.
+Of the pairs of later rounds those go on whose sketches
 agree in ``agreeing`` of the minhashes (of 42, a pair of similarity 0.8 has fewer
 than 23 with a chance of 1 in 10,000); they are confirmed on whole shingle sets.
 """
@@ -26,6 +31,7 @@ than 23 with a chance of 1 in 10,000); they are confirmed on whole shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,7 @@ from testfloor.llm.words import blocks, chain, find_words, lowered, mix, text_by
 from testfloor.session import materialize
 
 _U = np.uint64
+_PLANES = 8  # bits kept of each minhash in a sketch; bit i of a plane's longs is of minhash i
 
 
 def shingle_sets(data: np.ndarray, edges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +93,17 @@ def _sketch(k: int, collections: int, width: int):
                 first = (np.cumsum(sizes) - sizes)[filled]
                 part = np.zeros((collections, b - a), _U)
                 marks = np.zeros((2, b - a), _U)
-                sketch = np.zeros((b - a, collections * width), np.uint8)
+                sketch = np.zeros((b - a, _PLANES * -(-collections * width // 64)), _U)
                 if len(filled):
                     with np.errstate(over="ignore"):
                         for c in range(collections):
                             for j in range(width):
                                 low = np.minimum.reduceat(mix(value ^ seeds[c * width + j]), first)
                                 part[c, filled] = chain(part[c, filled] + _U(c), low)
-                                sketch[filled, c * width + j] = (low >> _U(7)).astype(np.uint8)
+                                place = c * width + j
+                                for plane in range(_PLANES):
+                                    bit = (low >> _U(7 + plane)) & _U(1)
+                                    sketch[filled, place // 64 * _PLANES + plane] |= bit << _U(place % 64)
                         for i in range(2):
                             marks[i, filled] = np.add.reduceat(mix(value + _U(77 + i)), first)
                 keys = np.ascontiguousarray(part.T[filled]).view(np.int64).ravel()
@@ -105,7 +115,7 @@ def _sketch(k: int, collections: int, width: int):
                         pa.array(marks[0].view(np.int64)),
                         pa.array(marks[1].view(np.int64)),
                         _lists(keys, per_row),
-                        pa.array([row.tobytes() for row in sketch], pa.binary()),
+                        _lists(sketch.view(np.int64).ravel(), np.full(b - a, sketch.shape[1])),
                     ],
                     names=["doc_id", "n_shingles", "mark1", "mark2", "parts", "sketch"],
                 )
@@ -114,7 +124,7 @@ def _sketch(k: int, collections: int, width: int):
 
 
 _PLACES = 1 << 20
-_SCHEMA = "doc_id {}, n_shingles long, mark1 long, mark2 long, parts array<long>, sketch binary"
+_SCHEMA = "doc_id {}, n_shingles long, mark1 long, mark2 long, parts array<long>, sketch array<long>"
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -128,38 +138,35 @@ def _keys(reps: DataFrame) -> DataFrame:
     return lists.filter(F.size("p") > 1).select("doc_id", F.explode(pairs).alias("key"))
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, agreeing: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes and sketches allow the similarity."""
-    x = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("an"), F.col("sketch").alias("x"))
-    y = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("bn"), F.col("sketch").alias("y"))
-    schema = pairs.select("a", "b").schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8) for c in (2, 3)]
-            same = (sides[0] == sides[1]).reshape(batch.num_rows, -1).sum(axis=1) >= agreeing if batch.num_rows else []
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    fits = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    return pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b", "x", "y").mapInArrow(run, schema)
+def _disagreeing(x: str, y: str, minhashes: int) -> Column:
+    """The number of minhashes in which two sketches differ."""
+    words = []
+    for first in range(0, -(-minhashes // 64) * _PLANES, _PLANES):
+        planes = [F.col(x)[i].bitwiseXOR(F.col(y)[i]) for i in range(first, first + _PLANES)]
+        words.append(F.bit_count(reduce(Column.bitwiseOR, planes)))
+    return reduce(Column.__add__, words)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, agreeing: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, made anew from the texts of these documents only, reach the similarity."""
+def _measure(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Every pair (a, b) with the sizes of the intersection and the union of its shingle sets, made anew from the texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = materialize(_agreeing(pairs, reps, percent, agreeing), "candidates")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # At most _PLACES places of ids are broadcast; they keep most other texts out of the shuffle of the exact join.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
     places = F.broadcast(wanted.select(place.alias("place")).distinct())
     texts = docs.select("doc_id", "text", place.alias("place")).join(places, "place", "left_semi").drop("place")
-    texts = texts.join(wanted, "doc_id", "left_semi")
+    # Repeated rows of a doc_id have one text, and a pair is measured once.
+    texts = texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = texts.mapInArrow(_sets(k), f"doc_id {kind}, shingles array<long>")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return joined.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
+    joined = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return joined.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
+
+
+def _alike(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * F.col("either")
 
 
 def _level(doc_id: str) -> Column:
@@ -168,12 +175,22 @@ def _level(doc_id: str) -> Column:
     return F.bit_count(mixed.bitwiseAND(-mixed) - 1)
 
 
-def _pairs(open_: DataFrame, level: int) -> DataFrame:
-    """The pairs of members of this level or above, the centres, and members of other components of their buckets."""
-    centres = open_.filter(_level("doc_id") >= level)
-    centres = centres.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    pairs = open_.join(centres, "key").filter("component <> ca")
-    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+def _pairs(open_: DataFrame, facts: DataFrame, level: int, percent: int, disagreeing: Column) -> DataFrame:
+    """The pairs of members of this level or above, the centres, and members of other components that may be like them.
+
+    ``far`` is a member's distance from the smallest member of its bucket, ``away`` from the smallest one of all its
+    buckets, its pivot; a link bridges at most 1 - percent / 100.
+    """
+    members = open_.join(facts, "doc_id")
+    centres = members.filter(_level("doc_id") >= level)
+    centres = centres.select("key", *(F.col(c).alias(f"{c}_c") for c in members.columns if c != "key"))
+    most = 1 - percent / 100 + 1e-9
+    near = F.abs(F.col("far") - F.col("far_c")) <= most
+    near &= (F.col("pivot") != F.col("pivot_c")) | (F.abs(F.col("away") - F.col("away_c")) <= most)
+    sizes = F.col("n_shingles"), F.col("n_shingles_c")
+    near &= (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & disagreeing
+    pairs = members.join(centres, "key").filter((F.col("component") != F.col("component_c")) & near)
+    return pairs.select(F.least("doc_id_c", "doc_id").alias("a"), F.greatest("doc_id_c", "doc_id").alias("b")).distinct()
 
 
 def groups(
@@ -199,11 +216,17 @@ def groups(
     shared = materialize(shared.select("key", "a"), "shared-keys")
     members = materialize(entries.join(shared, "key"), "buckets")
     stars = members.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = materialize(_confirm(stars, docs, reps, k, percent, agreeing), "star-links")
-    remaining, level = members.filter("a <> doc_id").select("key", "doc_id"), None
+    stars = materialize(_measure(materialize(stars, "stars"), docs, k), "measured-stars")
+    links, level = stars.filter(_alike(percent)).select("a", "b"), None
+    far = stars.select("a", F.col("b").alias("doc_id"), (1 - F.col("both") / F.col("either")).alias("far"))
+    pivots = far.groupBy("doc_id").agg(F.min("a").alias("a")).join(far, ["a", "doc_id"])
+    pivots = pivots.select("doc_id", F.col("a").alias("pivot"), F.col("far").alias("away"))
+    facts = materialize(reps.select("doc_id", "n_shingles", "sketch").join(pivots, "doc_id"), "facts")
+    disagreeing = _disagreeing("sketch", "sketch_c", collections * width) <= collections * width - agreeing
+    remaining = materialize(members.join(far, ["a", "doc_id"]).select("key", "doc_id", "far"), "remaining")
     while True:
         found = components(links)
-        named = remaining.select("key", "doc_id").join(
+        named = remaining.select("key", "doc_id", "far").join(
             found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
         )
         named = named.withColumn("component", F.coalesce("component", "doc_id"))
@@ -215,7 +238,8 @@ def groups(
         # Two levels a round: the first round has a few centres in the largest bucket.
         level = largest.bit_length() - 2 if level is None else level - 2
         level = max(level, 0)
-        more = _confirm(_pairs(open_, level), docs, reps, k, percent, agreeing)
+        pairs = materialize(_pairs(open_, facts, level, percent, disagreeing), "candidates")
+        more = _measure(pairs, docs, k).filter(_alike(percent)).select("a", "b")
         links = links.union(materialize(more, "round-links"))
         remaining = open_.filter(_level("doc_id") < level)
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
