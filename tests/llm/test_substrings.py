@@ -57,3 +57,21 @@ def test_words_that_cancel_in_linear_hashes(spark):
     rows = [(1, " ".join([one, *shared])), (2, " ".join([other, *shared])), (3, " ".join(one)), (4, " ".join(other))]
     out = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out} == brute(rows, 50)
+
+
+def test_edited_copies_of_a_long_text_null_ids_and_clashing_columns(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(30_000)]
+    rows = [(0, " ".join(base)), (1, "x " * 20_000), (2, "x " * 70)]
+    for d in range(3, 12):
+        at = rng.randrange(len(base) - 400)
+        words = base[at : at + 400]
+        for _ in range(d):
+            words[rng.randrange(len(words))] = "edited"
+        rows.append((d, " ".join(words)))
+    data = [(d, t, 7, "h", [1]) for d, t in rows] + [(None, rows[0][1], 7, "h", [1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, start int, HASH string, anchors array<int>")
+    out = substrings.remove(docs).collect()
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out if r.doc_id is not None}
+    assert got == brute(rows, 50)
+    assert [(r.n_words, r.n_removed) for r in out if r.doc_id is None] == [(30_000, 0)]
