@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterable
+from functools import cache
 from itertools import groupby
 from operator import attrgetter
 from typing import NamedTuple
@@ -21,6 +22,7 @@ from testfloor.session import scratch_path, write_bytes
 from testfloor.sources import framing, stdf
 
 BLOCK = 256
+AT_ONCE = 16  # blocks that a task takes together, since each hand-over to Python costs as much as a block
 
 
 class Line(NamedTuple):
@@ -45,6 +47,11 @@ def _lines(table: pa.Table) -> Iterable[Line]:
     return map(Line, *(ordered.column(name).to_pylist() for name in Line._fields))
 
 
+@cache
+def _struct(codes: str) -> struct.Struct:
+    return struct.Struct(codes)
+
+
 class Writer:
     """STDF records of one file in either byte order."""
 
@@ -52,7 +59,7 @@ class Writer:
         self.order, self.parts, self.count = ">" if big else "<", [], 0
 
     def pack(self, codes: str, *values) -> bytes:
-        return struct.pack(self.order + codes, *values)
+        return _struct(self.order + codes).pack(*values)
 
     @staticmethod
     def text(value: str) -> bytes:
@@ -61,7 +68,13 @@ class Writer:
 
     def add(self, typ: int, sub: int, *body: bytes) -> None:
         joined = b"".join(body)
-        self.parts.append(struct.pack(self.order + "HBB", len(joined), typ, sub) + joined)
+        self.parts.append(self.pack("HBB", len(joined), typ, sub) + joined)
+        self.count += 1
+
+    def test(self, typ: int, sub: int, codes: str, values: tuple, tail: bytes) -> None:
+        """A record of packed values and a tail that many records share, in one step."""
+        packed = _struct(f"{self.order}HBB{codes}")
+        self.parts.append(packed.pack(packed.size - 4 + len(tail), typ, sub, *values) + tail)
         self.count += 1
 
     def header(self) -> None:
@@ -105,22 +118,33 @@ def _opening(w: Writer, block: int, flow: bool) -> None:
     w.add(50, 10, *_generic(w, *head, *axis, *track))
 
 
+@cache
+def _limits(order: str, number: int, later: int | None) -> bytes:
+    """What follows the value of a parametric record."""
+    w, name = Writer(order == ">"), Writer.text(f"T{number}")
+    if number % 2 == 0 or later == 0:
+        return name
+    flag = (0, 0x30, 0x40, 0)[later or 0]
+    limits = w.pack("ff", 1.0, 2.0) + w.text("mA") if later == 1 else w.pack("ff", 5000.0, 95000.0) + w.text("" if later == 2 else "mA")
+    return name + w.text("") + bytes([flag, 0, 0, 0]) + limits
+
+
+@cache
+def _pattern(pattern: int, number: int) -> bytes:
+    return b"".join(map(Writer.text, (f"pat{pattern}", "", "", f"T{number}")))
+
+
 def _test(w: Writer, row: Line, site: int, later: int | None = None) -> None:
     """A test record; ``later`` (0-3) is how it differs from the definition that an earlier one gave."""
     number = int(row.l_linenumber)
     flags = {"R": 128, "A": 0}.get(row.l_returnflag, (16, 64, 1)[int(row.l_suppkey) % 3])
-    common, name = w.pack("IBBB", number, 1, site, flags), w.text(f"T{number}")
     price = float("nan") if row.l_extendedprice is None else row.l_extendedprice
     if number == 6:
-        w.add(15, 20, common, b"\x00", w.pack("IIIIiihHH", 1, 2, 3, 4, -1, -2, -3, 0, 0), w.pack("H", 0), w.text(f"pat{int(row.l_suppkey) % 10}"), w.text(""), w.text(""), name)
+        w.test(15, 20, "IBBBBIIIIiihHHH", (number, 1, site, flags, 0, 1, 2, 3, 4, -1, -2, -3, 0, 0, 0), _pattern(int(row.l_suppkey) % 10, number))
     elif number == 7:
-        w.add(15, 15, common, b"\x00", w.pack("HH", 3, 2), b"\x21\x03", w.pack("ff", price, price + 1), name)
-    elif number % 2 and later != 0:
-        flag = (0, 0x30, 0x40, 0)[later or 0]
-        limits = w.pack("ff", 1.0, 2.0) + w.text("mA") if later == 1 else w.pack("ff", 5000.0, 95000.0) + w.text("" if later == 2 else "mA")
-        w.add(15, 10, common, b"\x00", w.pack("f", price), name, w.text(""), bytes([flag, 0, 0, 0]), limits)
+        w.test(15, 15, "IBBBBHHBBff", (number, 1, site, flags, 0, 3, 2, 0x21, 0x03, price, price + 1), w.text(f"T{number}"))
     else:
-        w.add(15, 10, common, b"\x00", w.pack("f", price), name)
+        w.test(15, 10, "IBBBBf", (number, 1, site, flags, 0, price), _limits(w.order, number, later))
 
 
 def _closing(w: Writer, block: int, bins: dict[int, int]) -> None:
@@ -160,8 +184,8 @@ def _build(block: int, rows: Iterable[Line], flow: bool) -> tuple[bytes, int]:
         flags = 4 if order % 41 == 0 else {"O": 0, "F": 8}.get(first.o_orderstatus, 16)
         known = customer % 17 != 0
         x, y = (customer % 50 + 1, customer // 50 % 30000 + 1) if known else (-32768, -32768)
-        body = w.pack("BBBHHHhhI", 1, site, flags, len(real), int(first.o_orderpriority[0]), int(order % 6) * 10, x, y, int(order % 1000))
-        w.add(5, 20, body, b"" if order % 9 == 0 else w.text(f"U{order}"))
+        part = (1, site, flags, len(real), int(first.o_orderpriority[0]), int(order % 6) * 10, x, y, int(order % 1000))
+        w.test(5, 20, "BBBHHHhhI", part, b"" if order % 9 == 0 else w.text(f"U{order}"))
     if flow:
         _closing(w, block, bins)
     w.add(2, 20, bytes([1, 1 if block % 2 == 0 else 255]), w.pack("II", 3000 + block, units))
@@ -186,18 +210,20 @@ def write_files(spark: SparkSession, sf_dir: str, flow: bool = False) -> str:
     lines = adapters.table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag"
     )
-    rows = orders.join(lines, "o_orderkey", "left").withColumn("block", F.floor(F.col("o_orderkey") / BLOCK))
+    rows = orders.join(lines, "o_orderkey", "left").withColumn("blocks", F.floor(F.col("o_orderkey") / (BLOCK * AT_ONCE)))
 
     def write(key: tuple, rows: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        content, count = _build(block, _lines(rows), flow)
-        stored = gzip.compress(content, mtime=0) if block % 4 == 1 else content
-        names = [_name(block)] + ([f"copy/{_name(block)}"] if block % 5 == 0 else []) + ([f"S{block % 8}/notes-{block}.txt"] if block % 6 == 0 else [])
-        for name in names:
-            write_bytes(f"{folder}/{name}", stored)
-        return pa.table({"block": [block], "records": [count]})
-
-    rows.groupBy("block").applyInArrow(write, "block long, records long").agg(F.sum("records")).collect()
+        counts = []
+        for block, lines in groupby(_lines(rows), lambda line: line.o_orderkey // BLOCK):
+            content, count = _build(block, lines, flow)
+            stored = gzip.compress(content, mtime=0) if block % 4 == 1 else content
+            names = [_name(block)] + ([f"copy/{_name(block)}"] if block % 5 == 0 else []) + ([f"S{block % 8}/notes-{block}.txt"] if block % 6 == 0 else [])
+            for name in names:
+                write_bytes(f"{folder}/{name}", stored)
+            counts.append(count)
+        return pa.table({"records": pa.array([sum(counts)], pa.int64())})
+
+    rows.groupBy("blocks").applyInArrow(write, "records long").agg(F.sum("records")).collect()
     return folder
 
 

@@ -48,3 +48,14 @@ def test_a_block_takes_milliseconds():
     began = time.process_time()
     _, count = stdf_files._build(0, stdf_files._lines(block(*rows)), True)
     assert count > 7 * 256 and time.process_time() - began < 0.5
+
+
+def test_blocks_are_handed_over_many_at_once(spark, sf):
+    from pathlib import Path
+
+    folder = stdf_files.write_files(spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    blocks = {r[0] for r in orders.selectExpr(f"o_orderkey div {stdf_files.BLOCK}").distinct().collect()}
+    found = {int(p.name[4:13]) for p in Path(folder.removeprefix("file:")).rglob("run-*")}
+    assert found == blocks and len(blocks) > 1
+    assert stdf_files.AT_ONCE > 1  # a block a hand-over took as long for the hand-over as for the block
