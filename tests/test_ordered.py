@@ -56,3 +56,11 @@ def test_running_in_order_with_one_hot_group_and_ties(spark):
 def test_rank_over_the_whole_table(spark):
     df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     assert rank_in_order(df, [], [F.col("v")]).filter("rank <> v + 1").count() == 0
+
+
+def test_carry_sorts_its_rows_once(spark):
+    df = spark.createDataFrame(rows(), "k string, seq long, v int")
+    plan = carry(df, ["k"], "seq", 7, total=Running("sum", F.col("v")))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    # The rows by chunk and place, the totals of chunks for their running sums, and these for the join.
+    assert plan.count(" Sort [") == 3

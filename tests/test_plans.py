@@ -33,3 +33,11 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_partial_aggregation_before_the_shuffle(spark, sf):
     plan = physical(QUERIES["f01_attempt_yield"](spark, sf))
     assert plan.count("HashAggregate") >= 2 and "partial_count" in plan
+
+
+def test_registered_queries_keep_generated_methods_short(spark, sf):
+    from testfloor.plans.registry import QUERIES
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    QUERIES["c01_attempt_verdict"](spark, sf)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"  # the JVM compiles no longer ones

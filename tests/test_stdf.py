@@ -235,3 +235,10 @@ def test_any_bytes_give_rows_not_errors(content):
             assert all(len(c.values) == part.num_rows for c in columns)
             for c in columns:
                 c.values.validate(full=True)
+
+
+def test_events_are_stored_once(spark):
+    built = tables.build(stdf.read_events(written(spark, whole=flow_log())))
+    again = tables.stored(built)
+    assert again.events is built.events and all("numbered-records" in f for f in again.events.inputFiles())
+    assert again.attempts.collect() == built.attempts.collect()
