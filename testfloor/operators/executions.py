@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from testfloor.operators.joins import attach
 
+_LONGEST = (1 << 31) - 1
+
 
 def last_executions(rows: DataFrame, key: list[str], order: str = "rec", columns: list[str] | None = None) -> DataFrame:
     """The last row per ``key``: a mergeable aggregate, no window over the rows of a key.
@@ -23,8 +25,14 @@ def mark_last_execution(rows: DataFrame, key: list[str], order: str = "rec") ->
     shown = {f"__k_{k}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("~")) for k in key}
     keyed = rows.withColumns(shown)
     last = keyed.groupBy(*shown).agg(F.max(order).alias("__last"), F.count("*").alias("__rows"))
-    joined = attach(keyed, last, list(shown), "__rows", [order])
-    return joined.select(*rows.columns, (F.col(order) == F.col("__last")).alias("last_execution"))
+    # Texts and whole numbers are told by their shown key and need not travel beside it; the first key is not kept shown.
+    told = {
+        k: F.when(F.col(f"__k_{k}") != "~", F.substring(f"__k_{k}", 2, _LONGEST).cast(rows.schema[k].dataType))
+        for k in key[1:] if isinstance(rows.schema[k].dataType, (T.StringType, T.IntegralType))
+    }
+    joined = attach(keyed.drop(*told), last, list(shown), "__rows", [order], marked=True)
+    columns = [told[c].alias(c) if c in told else F.col(c) for c in rows.columns]
+    return joined.select(*columns, (F.col(order) == F.col("__last")).alias("last_execution"))
 
 
 def collapsed_verdict(passed: Column) -> Column:
