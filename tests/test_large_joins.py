@@ -71,3 +71,12 @@ def test_tasks_that_sort_grow_with_the_rows(spark, monkeypatch):
     paired = eav.pair_equal_rows(rows.select("digest", "id"), rows.select("digest", "other"), ["id"], ["other"])
     assert "Exchange hashpartitioning(digest" in plan(paired) and ", 40), REPARTITION_BY_NUM" in plan(paired)
     assert paired.count() == 1000 and paired.filter("id <> other").isEmpty()
+
+
+def test_tasks_of_the_dashboard_rows_grow_with_the_rows(spark, sf, monkeypatch):
+    from testfloor.plans import adapters
+
+    monkeypatch.setattr("testfloor.session.TASK_ROWS", 100)
+    rows = adapters.test_rows(spark, sf)
+    tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    assert plan(rows).count(f", {tasks}), REPARTITION_BY_NUM") == 2
