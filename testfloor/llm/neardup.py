@@ -11,16 +11,14 @@ value no other document has are left out before pairs of them are formed.
 
 Documents with equal shingle sets are one class with the smallest doc_id as its
 representative, found by a pre-aggregated grouping; only representatives enter
-the tables. Members of a table's bucket are compared with centres in rounds: its
-smallest member first, then those of the highest level, the next lower ones and so on, until
-the members that were no centre yet are one component. A document's level is drawn by
-a hash, each level is half as likely as the one below, and so no two documents are
-compared in two of the rounds after the first. In the last round all members left are centres:
-members of other components that stay below the similarity are all compared, with the square of their number. A centre is only compared with
-members of other components, so no link between components is lost, and copies of
-one text never expand into pairs. Of the compared pairs those go on whose sketches
-agree in ``agreeing`` of the minhashes (of 42, a pair of similarity 0.8 has fewer
+the tables. Each member of a table's bucket is compared with the smallest member. Of these pairs those
+go on whose sketches agree in ``agreeing`` of the minhashes (of 42, a pair of similarity 0.8 has fewer
 than 23 with a chance of 1 in 10,000); they are confirmed on whole shingle sets.
+
+Buckets whose other members are not in one component then are open. Members that meet in open
+buckets, through others too, form families, and ``differences`` finds all links between the components of a family by an exact
+prefix filter, without sketches: no link between components is lost, copies of
+one text never expand into pairs, and members that just miss the similarity are not all compared with each other.
 """
 
 from __future__ import annotations
@@ -29,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from testfloor.llm.components import components
+from testfloor.llm.differences import family_links
 from testfloor.llm.words import blocks, chain, find_words, lowered, mix, text_bytes
 from testfloor.session import materialize
 
@@ -144,17 +143,22 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, agreeing: int) ->
     return pairs.join(x, "a").join(y, "b").filter(fits).select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, agreeing: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, made anew from the texts of these documents only, reach the similarity."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents in ``wanted``, made from their texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = materialize(_agreeing(pairs, reps, percent, agreeing), "candidates")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     # At most _PLACES places of ids are broadcast; they keep most other texts out of the shuffle of the exact join.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
     places = F.broadcast(wanted.select(place.alias("place")).distinct())
     texts = docs.select("doc_id", "text", place.alias("place")).join(places, "place", "left_semi").drop("place")
     texts = texts.join(wanted, "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(k), f"doc_id {kind}, shingles array<long>")
+    return texts.mapInArrow(_sets(k), f"doc_id {kind}, shingles array<long>")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, agreeing: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets, made anew from the texts of these documents only, reach the similarity."""
+    pairs = materialize(_agreeing(pairs, reps, percent, agreeing), "candidates")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = _sets_of(docs, wanted, k)
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -162,18 +166,12 @@ def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     return joined.filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _level(doc_id: str) -> Column:
-    """Zero bits at the end of a hash: each level is half as likely as the one below."""
-    mixed = F.xxhash64(F.col(doc_id), F.lit("level"))
-    return F.bit_count(mixed.bitwiseAND(-mixed) - 1)
-
-
-def _pairs(open_: DataFrame, level: int) -> DataFrame:
-    """The pairs of members of this level or above, the centres, and members of other components of their buckets."""
-    centres = open_.filter(_level("doc_id") >= level)
-    centres = centres.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    pairs = open_.join(centres, "key").filter("component <> ca")
-    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+def _families(open_: DataFrame) -> DataFrame:
+    """(family, doc_id, component): the members of open buckets; those of one bucket are in one family."""
+    first = open_.groupBy("key").agg(F.min("doc_id").alias("a"))
+    meetings = open_.join(first, "key").filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    families = components(meetings).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    return families.join(open_.select("doc_id", "component").distinct(), "doc_id").select("family", "doc_id", "component")
 
 
 def groups(
@@ -200,24 +198,17 @@ def groups(
     members = materialize(entries.join(shared, "key"), "buckets")
     stars = members.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links = materialize(_confirm(stars, docs, reps, k, percent, agreeing), "star-links")
-    remaining, level = members.filter("a <> doc_id").select("key", "doc_id"), None
-    while True:
-        found = components(links)
-        named = remaining.select("key", "doc_id").join(
-            found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-        )
-        named = named.withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed")
-        open_ = materialize(named.join(mixed.select("key"), "key", "left_semi"), "open-buckets")
-        largest = open_.groupBy("key").count().agg(F.max("count")).first()[0]
-        if largest is None:
-            break
-        # Two levels a round: the first round has a few centres in the largest bucket.
-        level = largest.bit_length() - 2 if level is None else level - 2
-        level = max(level, 0)
-        more = _confirm(_pairs(open_, level), docs, reps, k, percent, agreeing)
-        links = links.union(materialize(more, "round-links"))
-        remaining = open_.filter(_level("doc_id") < level)
+    found = components(links)
+    named = members.filter("a <> doc_id").select("key", "doc_id").join(
+        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
+    )
+    named = named.withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = named.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed")
+    open_ = materialize(named.join(mixed.select("key"), "key", "left_semi"), "open-buckets")
+    if not open_.isEmpty():
+        families = materialize(_families(open_), "families")
+        sets = _sets_of(docs, families.select("doc_id"), k).filter("size(shingles) > 0").withColumnRenamed("shingles", "elements")
+        found = components(links.union(family_links(families.join(sets, "doc_id"), percent)))
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         *mark, F.coalesce("component", "rep").alias("component_id")
     )
