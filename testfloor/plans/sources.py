@@ -384,7 +384,8 @@ def _evidence_sql() -> str:
 
 @query("a18_field_evidence", _evidence_sql())
 def _(spark, sf):
-    return stdf.field_evidence(_unique(spark, sf)).groupBy("record", "field", "presence").agg(F.count("*").alias("n"))
+    fields = stdf.field_evidence(stdf.dealt(_unique(spark, sf)), ("record", "field", "presence"))
+    return fields.groupBy("record", "field", "presence").agg(F.count("*").alias("n"))
 
 
 @query("a18_evidence_status", FILES_SQL + """ select 'PRR' as record, 'X_COORD' as field, case when o_custkey % 17=0 then 'missing' else 'valid' end as status, count(*) as n from o group by all
@@ -392,7 +393,7 @@ def _(spark, sf):
  union all select 'MIR', 'BURN_TIM', 'missing', count(*) from blocks
  union all select 'PTR', 'RESULT', case when l_returnflag='N' and l_suppkey % 3<>1 then 'invalid' else 'valid' end, count(*) from l where kind='PTR' group by all""")
 def _(spark, sf):
-    checked = quality.field_status(stdf.field_evidence(_unique(spark, sf)))
+    checked = quality.field_status(stdf.field_evidence(stdf.dealt(_unique(spark, sf))))
     wanted = F.concat_ws(".", "record", "field").isin("PRR.X_COORD", "PRR.PART_ID", "MIR.BURN_TIM", "PTR.RESULT")
     return checked.filter(wanted).groupBy("record", "field", "status").agg(F.count("*").alias("n"))
 
